@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licences, mixing, pii, quality, sharding
+from . import bpe, fingerprints, licences, mixing, ngram_join, pii, quality, sharding
 from .base import table
 
 
@@ -15,6 +15,11 @@ def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, with_text=False, with_digests=True)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.join_ngrams(table(spark, sf_dir, "documents"), n=4, least=(85, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -57,6 +62,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_encoding": op1_bpe_encoding,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
     "op5_pii": op5_pii,
