@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licences, mixing, ngram_join, pii, quality, sharding
+from . import ann, bpe, fingerprints, licences, mixing, ngram_join, pii, quality, sharding
 from .base import table
 
 
@@ -48,6 +48,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
     "op5_pii": op5_pii,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_mixing": op8_mixing,
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
     "op10_licence_scan": op10_licence_scan,
