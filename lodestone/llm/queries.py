@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, licences, mixing, ngram_join, pii, quality, sharding
+from . import ann, bpe, fingerprints, licences, mixing, ngram_join, pii, quality, sharding, substring_dedup
 from .base import table
 
 
@@ -48,6 +48,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
     "op5_pii": op5_pii,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_mixing": op8_mixing,
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
