@@ -61,19 +61,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    *,
-    weights: tuple[int, ...] = (3, 1, 2),
-    share: float = 1.5,
-    most: float = 2.0,
-    seed: str = "mix",
-) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, copies, taken."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: float, seed: str, carried: list[str]) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, and ``row`` with the carried columns."""
     rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
@@ -94,9 +85,25 @@ def mix_sources(
     place = F.row_number().over(W.partitionBy("key", "class", "salt").orderBy("digest", "doc_id", "size"))
     placed = rows.withColumn("place", place).join(plan, ["key", "class", "salt"]).withColumn("i", F.col("before") + F.col("place"))
     copies = F.floor(F.col("offset") + F.col("i") * F.col("rate")) - F.floor(F.col("offset") + (F.col("i") - 1) * F.col("rate"))
-    return placed.withColumn("copies", copies.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    return placed.withColumn("copies", copies.cast("long"))
+
+
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix",
+) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, copies, taken."""
+    placed = _placed(docs, id_col, text_col, source_col, weights, share, most, seed, [id_col])
+    return placed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def draw(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix",
+) -> DataFrame:
+    """The mix itself: every row of ``docs``, with all columns, as often as it is drawn."""
+    placed = _placed(docs, id_col, text_col, source_col, weights, share, most, seed, docs.columns).where("copies > 0")
+    return placed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 #: The same over ``documents`` in DuckDB's SQL, with the default parameters.

@@ -246,3 +246,24 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     return rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all columns, one for each component of ``groups`` (as of ``join_ngrams``).
+
+    The document with the smallest id stays; of rows that share an id one
+    stays. Rows without an id belong to no group, and stay.
+    """
+    seen = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg((F.count("*") > 1).alias("_many"))
+    seen = stored(seen)
+    few = F.broadcast(seen) if seen.count() <= BROADCAST_IDS else seen
+    key = F.col(f"`{id_col}`").cast("long")
+    joined = docs.join(few, key == F.col("_kept"))
+    once = joined.where("NOT _many").select(*docs.columns)
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    many = joined.where("_many").select(F.col("_kept"), rows.alias("_row"), digest.alias("_digest"))
+    many = many.withColumn("_nth", F.row_number().over(W.partitionBy("_kept").orderBy("_digest"))).where("_nth = 1")
+    many = many.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    out = once.unionByName(docs.where(key.isNull()))
+    return out.unionByName(many) if not seen.where("_many").isEmpty() else out
