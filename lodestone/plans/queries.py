@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import content
+from ..operators import blocks as blk
 from ..operators import economics as eco
 from ..operators import inventory as inv
 from ..operators import ledger as led
+from ..operators import models
 from ..sources import tables as src
 from ..sources.tables import GRANTS_SQL, IN_WINDOW_SQL, LEDGER_SQL, OBJECTS_SQL
+from ..streaming import watch
 from . import planner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,6 +482,116 @@ def policy_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"stored_value": F.round("stored_value", 3), "sync_value": F.round("sync_value", 3), "later_value": F.round("later_value", 6)})
 
 
+# --- contents and blocks ------------------------------------------------------
+
+
+@query()
+def transform_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transforms over the packed numbers of each order's line items."""
+    rows = src.load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.lpad(F.hex("l_partkey"), 16, "0"))), "").alias("h"))
+    return blk.transform_round_trips(rows.select("l_orderkey", F.unhex("h").alias("content")), "l_orderkey", "content")
+
+
+@query()
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blk.codec_round_trips(src.load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def block_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blk.probe_blocks(inv.fixed_chunks(src.load(spark, sf_dir, "documents"), "doc_id", "text", 4096))
+
+
+@query()
+def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blk.cdc_chunks(src.load(spark, sf_dir, "documents"), "doc_id", "text", 1024)
+
+
+@query()
+def block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block tables of the documents' block files, read back from their bytes."""
+    return blk.block_table(blk.write_block_files(src.load(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query()
+def delta_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation as a delta to the turn before."""
+    rows = src.load(spark, sf_dir, "conversations")
+    w = W.partitionBy("conv_id").orderBy("turn")
+    pairs = rows.select("conv_id", "turn", F.lag("text").over(w).cast("binary").alias("old"), F.col("text").cast("binary").alias("new"))
+    return blk.delta_pairs(pairs.where("old IS NOT NULL AND new IS NOT NULL"), ["conv_id", "turn"])
+
+
+@query()
+def stratified_sample_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratio of zstd-3 by language, from sampled blocks, with a bootstrap interval."""
+    chunks = inv.fixed_chunks(src.load(spark, sf_dir, "documents"), "doc_id", "text", 4096)
+    chunks = chunks.join(src.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    taken = blk.sample_blocks(chunks, "lang", ["id", "block"], 64)
+    packed = blk.probe_blocks(taken).join(taken.select("id", "block", "lang"), ["id", "block"])
+    return blk.bootstrap_ratio(packed, "lang", ["id", "block"], "packed", "size")
+
+
+_LANGS = "(VALUES ('de', 40), ('en', 300), ('es', 3), ('fr', 7)) v(class, n)"
+
+
+@query(f"""WITH c AS (SELECT class, n::BIGINT AS n FROM {_LANGS}), t AS (SELECT sum(least(5, n)) AS given, sum(greatest(n - 5, 0)) AS rest FROM c)
+  SELECT class, n, least(n, least(5, n) + greatest(floor((60 - given) * greatest(n - 5, 0) / rest::DOUBLE), 0))::BIGINT AS take FROM c, t""")
+def pair_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spark.createDataFrame([("de", 40), ("en", 300), ("es", 3), ("fr", 7)], "class string, n long")
+    return blk.pair_allocation(counts, "class", "n", 60).withColumn("take", F.col("take").cast("long"))
+
+
+_SIZES = "z AS (SELECT doc_id, lang, [100 + doc_id % 50, 90 + doc_id % 70, 120 - doc_id % 30]::BIGINT[] AS sizes, doc_id % 4 % 3 AS predicted FROM documents), s AS (SELECT *, list_min(sizes) AS low, list_position(sizes, list_min(sizes)) - 1 AS best FROM z)"
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up sizes of three candidates, the best one and a made-up prediction."""
+    d = F.col("doc_id")
+    rows = src.load(spark, sf_dir, "documents").select("doc_id", "lang", F.array(100 + d % 50, 90 + d % 70, 120 - d % 30).alias("sizes"), (d % 4 % 3).cast("int").alias("predicted"))
+    return rows.withColumn("best", (F.array_position("sizes", F.array_min("sizes")) - 1).cast("int"))
+
+
+@query(f"WITH {_SIZES} SELECT best::INT AS best, predicted::INT AS predicted, count(*) AS n FROM s GROUP BY 1, 2")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.confusion(_sized(spark, sf_dir), "best", "predicted")
+
+
+@query(f"""WITH {_SIZES}, a AS (SELECT lang, (best = predicted)::INT AS hit, (sizes[predicted::INT + 1] <= low * (1 + 0.005::DOUBLE))::INT AS fine FROM s)
+  SELECT lang, count(*) AS blocks, round(avg(hit), 6) AS strict, round(avg(fine), 6) AS tolerant FROM a GROUP BY ROLLUP (lang)""")
+def confusion_and_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.accuracy(_sized(spark, sf_dir), "lang", "best", "predicted", "sizes")
+
+
+@query(f"""WITH {_SIZES}, g AS (SELECT lang, sum(sizes[predicted::INT + 1])::BIGINT AS bytes, sum(low)::BIGINT AS best, sum(sizes[1]) AS plain FROM s GROUP BY 1)
+  SELECT lang, bytes, best, round((bytes - best) / best::DOUBLE, 6) AS regret, round(1 - bytes / plain::DOUBLE, 6) AS gain FROM g""")
+def regret_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.regret(_sized(spark, sf_dir), ["lang"], F.get("sizes", F.col("predicted")), "sizes")
+
+
+@query()
+def block_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which transform suits a block: regret of the rule, and of a tree that never saw the block's object."""
+    numbers = src.load(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 64).alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.lpad(F.hex("l_partkey"), 16, "0"))), "").alias("h"))
+    chunks = inv.fixed_chunks(numbers.select("k", F.unhex("h").alias("content")), "k", "content", 1024).withColumn("kind", F.lit("numbers"))
+    texts = inv.fixed_chunks(src.load(spark, sf_dir, "pages"), "page_id", "html", 1024).withColumn("kind", F.lit("text"))
+    rows = models.tolerant(models.labelled(chunks.unionByName(texts), 1024))
+    found = models.cross_validated(rows, F.col("id")).withColumn("rule", models.manual_rule(F.col("features")))
+    by_tree = models.regret(found.withColumn("model", F.lit("tree")), ["model"], F.get("sizes", F.col("predicted")), "sizes")
+    return by_tree.unionByName(models.regret(found.withColumn("model", F.lit("rule")), ["model"], F.get("sizes", F.col("rule")), "sizes"))
+
+
+@query()
+def watch_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds over the directory of the tables: what is there at first, again, and after a file was forgotten."""
+    seen = watch.empty_seen(spark)
+    first, seen = watch.run_round(spark, sf_dir, seen)
+    again, _ = watch.run_round(spark, sf_dir, seen)
+    third, _ = watch.run_round(spark, sf_dir, seen.where(~F.col("path").endswith("nation.parquet")))
+    rows = [df.withColumn("round", F.lit(i)) for i, df in enumerate((first, again, third))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("round", F.element_at(F.split("path", "/"), -1).alias("name"), "event")
+
+
 # --- an extension: event time -------------------------------------------------
 
 
