@@ -48,17 +48,22 @@ def newest_dictionary(dictionaries: DataFrame) -> DataFrame:
 _KINDS = ("logs", "csv", "ndjson", "f32", "i64", "random")
 
 
+def _lines(text: str, size: int) -> bytes:
+    """Whole lines of at most ``size`` characters together."""
+    return text[: text.rfind("\n", 0, size) + 1].encode()
+
+
 def _made(kind: str, seed: int, size: int) -> bytes:
     r = np.random.default_rng(seed)
     n = max(1, size // 8)
     if kind == "logs":
         users, status = r.zipf(1.3, n) % 1000, r.choice([200, 200, 200, 404, 500], n)
-        return "".join(f"2024-01-01T{i // 3600 % 24:02d}:{i // 60 % 60:02d}:{i % 60:02d}Z host{u % 7} GET /p/{u} {s}\n" for i, (u, s) in enumerate(zip(users, status)))[:size].encode()
+        return _lines("".join(f"2024-01-01T{i // 3600 % 24:02d}:{i // 60 % 60:02d}:{i % 60:02d}Z host{u % 7} GET /p/{u} {s}\n" for i, (u, s) in enumerate(zip(users, status))), size)
     if kind == "csv":
         q, p = r.integers(1, 13, n), r.integers(100, 10_000, n)
-        return "".join(f"{i},2024-01-{1 + i % 28:02d},{a},{b / 100:.2f}\n" for i, (a, b) in enumerate(zip(q, p)))[:size].encode()
+        return _lines("".join(f"{i},2024-01-{1 + i % 28:02d},{a},{b / 100:.2f}\n" for i, (a, b) in enumerate(zip(q, p))), size)
     if kind == "ndjson":
-        return "".join(f'{{"ts":{1_700_000_000 + i},"level":"info","user":{u}}}\n' for i, u in enumerate(r.integers(0, 500, n)))[:size].encode()
+        return _lines("".join(f'{{"ts":{1_700_000_000 + i},"level":"info","user":{u}}}\n' for i, u in enumerate(r.integers(0, 500, n))), size)
     if kind == "f32":
         t = np.arange(size // 4)
         return (np.sin(t / 50) * 20 + r.normal(0, 0.1, len(t))).round(2).astype("<f4").tobytes()
