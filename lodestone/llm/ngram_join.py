@@ -9,7 +9,10 @@ only its first n - ceil(t n) + 1. Documents that link share one of those. The
 product of this matrix with its transpose, taken block by block as a join on
 the n-gram and a sum for each pair of documents, counts shared n-grams; a pair
 whose count, and all that it could still share beyond, stays below the bound
-that the two sizes set is dropped. What is left is checked on the full sets.
+that the two sizes set is dropped; so is one whose sizes, or the places of a
+shared n-gram in both, leave too little to share. Of a pair, the smaller
+document needs fewer n-grams still, n - ceil(2 t n / (1 + t)) + 1. What is left
+is checked on the full sets.
 
 No pair is made within groups that are known to hang together:
 1. documents with equal sets form a class, and one stands for all;
@@ -99,7 +102,11 @@ def _read(n: int):
 
 
 def _list(n: int, least: tuple[int, int], known):
-    """(doc_id, text) to the cut incidence matrix: (gram, salt, doc_id, n); salt is 0 but for frequent n-grams."""
+    """(doc_id, text) to the cut incidence matrix: (gram, salt, rare, at, doc_id).
+
+    ``salt`` is 0 but for n-grams with a known count, ``at`` the n-gram's place in
+    the document's order, ``rare`` how many n-grams without a known count it has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_known, counts_known = known.value
@@ -108,7 +115,7 @@ def _list(n: int, least: tuple[int, int], known):
         for batch in batches:
             for a, b, data, offsets in steps(batch.column(1)):
                 ids = batch.column(0)[a:b].to_pylist()
-                gram, salt, doc, size = [], [], [], []
+                gram, salt, doc, rare, place = [], [], [], [], []
                 for doc_id, grams in zip(ids, _sets(data, offsets, n)):
                     if not len(grams) or doc_id is None or (name := _name(grams)) in seen:
                         continue
@@ -122,11 +129,12 @@ def _list(n: int, least: tuple[int, int], known):
                     c = count[first]
                     salt.append(np.where(c > 0, 1 + doc_id % (1 + c // LIST_ROWS), 0))
                     doc.append(np.full(len(first), doc_id))
-                    size.append(np.full(len(first), len(grams)))
+                    rare.append(np.full(len(first), np.count_nonzero(count == 0)))
+                    place.append(np.arange(len(first)))
                 if gram:
                     yield pa.RecordBatch.from_arrays(
-                        [long_array(np.concatenate(gram)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (salt, size)), pa.array(np.concatenate(doc).astype(np.int64))],
-                        names=["gram", "salt", "n", "doc_id"],
+                        [long_array(np.concatenate(gram)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (salt, rare, place)), pa.array(np.concatenate(doc).astype(np.int64))],
+                        names=["gram", "salt", "rare", "at", "doc_id"],
                     )
 
     return run
@@ -136,15 +144,42 @@ def _sized(n_a: Column, n_b: Column, least: tuple[int, int]) -> Column:
     return least[1] * F.least(n_a, n_b) >= least[0] * F.greatest(n_a, n_b)
 
 
+def _kept(n: Column, least: tuple[int, int]) -> Column:
+    """How many n-grams a document keeps."""
+    return n - F.ceil(n * least[0] / least[1]) + 1
+
+
+def _kept_as_smaller(n: Column, least: tuple[int, int]) -> Column:
+    """How many it needs against documents that are as large or larger: those share at least 2t / (1 + t) of it."""
+    return n - F.ceil(n * (2 * least[0]) / sum(least)) + 1
+
+
+def _may_share(a: str, b: str, least: tuple[int, int]) -> Column:
+    """Whether two documents can share as much as a link needs.
+
+    ``most`` is a size less the rare n-grams that nobody else lists. Where the
+    other document lists all its rare ones (``covers``) it can't hold those.
+    """
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    of_a = F.when(F.col(f"covers_{b}"), F.col(f"most_{a}")).otherwise(n_a)
+    of_b = F.when(F.col(f"covers_{a}"), F.col(f"most_{b}")).otherwise(n_b)
+    return sum(least) * F.least(of_a, of_b) >= least[0] * (n_a + n_b)
+
+
 def _may_reach(shared: Column, n_a: Column, n_b: Column, least: tuple[int, int]) -> Column:
     """Whether a pair that shares so many of its kept n-grams may still link.
 
     The document whose kept n-grams end first in the order shares, besides the
     counted ones, at most what it didn't keep.
     """
-    p, q = least
-    rest = F.ceil(F.greatest(n_a, n_b) * p / q) - 1
-    return (shared + rest) * (p + q) >= p * (n_a + n_b)
+    rest = F.ceil(F.greatest(n_a, n_b) * least[0] / least[1]) - 1
+    return (shared + rest) * sum(least) >= least[0] * (n_a + n_b)
+
+
+def _places_allow(least: tuple[int, int]) -> Column:
+    """Whether two documents that share the n-grams at these places can share enough before and after them."""
+    n_a, n_b, at_a, at_b = (F.col(c) for c in ("n_a", "n_b", "at_a", "at_b"))
+    return sum(least) * (F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)) >= least[0] * (n_a + n_b)
 
 
 class _Sets:
@@ -210,37 +245,49 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     known = spark.sparkContext.broadcast((grams[order].view(np.int64), frequent["n"].to_numpy()[order]))
 
     # lists of one document only go; a frequent n-gram's rows are known to be many, and stay
-    entries = docs.mapInArrow(_list(n, least, known), "gram long, salt int, n int, doc_id long")
+    entries = docs.mapInArrow(_list(n, least, known), "gram long, salt int, rare int, at int, doc_id long")
     alone = W.partitionBy("gram", "salt")
     entries = entries.withColumns({"low": F.min("doc_id").over(alone), "high": F.max("doc_id").over(alone)}).where("salt > 0 OR low != high")
-    entries = stored(entries.select("gram", "doc_id"))
+    entries = stored(entries.select("gram", "doc_id", "at", "rare", (F.col("salt") == 0).alias("is_rare")))
     owner = rows.where("rep IS NOT NULL").select("doc_id", "rep", "n").distinct()
-    entries = stored(entries.join(owner, "doc_id").select("gram", F.col("rep").alias("id"), "n").distinct())
+    entries = stored(entries.join(owner, "doc_id").select("gram", F.col("rep").alias("id"), "n", "at", "rare", "is_rare").distinct())
+    shared = stored(entries.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("gram"))
+    entries = stored(entries.join(shared, "gram"))
+    kept = _kept(F.col("n"), least)
+    about = entries.groupBy("id", "n", "rare").agg(F.count_if(F.col("is_rare")).alias("listed"))
+    about = stored(about.select("id", (F.col("n") - F.least(F.col("rare"), kept) + F.col("listed")).alias("most"), (F.col("rare") <= kept).alias("covers")))
+    entries = stored(entries.select("gram", "id", "n", "at").join(about, "id"))
 
     sets = _Sets(docs, classes, n, least)
-    # each class against one partner: the smallest of a list with which it shares most
-    lists = stored(entries.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high")).where("low.id != high").select("gram", F.col("low.id").alias("a"), F.col("low.n").alias("n_a")))
+    # each class against one partner: of the most typical members of its lists, the one with which it shares most
+    typical = F.struct((~F.col("covers")).alias("no"), ((F.col("n") - F.col("most")) / F.col("n")).alias("lone"), "id", "n", "most", "covers")
+    lists = stored(entries.groupBy("gram").agg(F.min(typical).alias("m")).select("gram", F.col("m.id").alias("a"), *[F.col(f"m.{c}").alias(f"{c}_a") for c in ("n", "most", "covers")]))
     stars = (
-        entries.join(lists, "gram").where((F.col("id") != F.col("a")) & _sized(F.col("n_a"), F.col("n"), least))
-        .groupBy("a", "n_a", F.col("id").alias("b"), "n").agg(F.count("*").alias("shared"))
-        .where(_may_reach(F.col("shared"), F.col("n_a"), F.col("n"), least))
+        entries.withColumnsRenamed({"n": "n_b", "most": "most_b", "covers": "covers_b"}).join(lists, "gram")
+        .where((F.col("id") != F.col("a")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least))
+        .groupBy("a", "n_a", F.col("id").alias("b"), "n_b").agg(F.count("*").alias("shared"))
+        .where(_may_reach(F.col("shared"), F.col("n_a"), F.col("n_b"), least))
         .groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     )
     links = sets.links(stars.select("a", "b"))
     found = connected_components(links)
 
-    # the product, between different components
+    # the product, between different components; of a pair, a is the smaller
     parts = entries.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     parts = stored(parts)
     mixed = stored(parts.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("gram"))
     parts = stored(parts.join(mixed, "gram"))
-    left, right = (parts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "part")]) for s in "ab")
-    pairs = (
-        left.join(right, "gram").where((F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & _sized(F.col("n_a"), F.col("n_b"), least))
-        .groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
-        .where(_may_reach(F.col("shared"), F.col("n_a"), F.col("n_b"), least))
-        .select("a", "b")
-    )
+    left, right = (parts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at", "most", "covers", "part")]) for s in "ab")
+    left = left.where(F.col("at_a") < _kept_as_smaller(F.col("n_a"), least))
+    smaller = F.struct("n_a", "most_a", "id_a") < F.struct("n_b", "most_b", "id_b")
+    allowed = smaller & (F.col("part_a") != F.col("part_b")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least) & _places_allow(least)
+    pairs = stored(left.join(right, "gram").where(allowed).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    # how many of their kept n-grams the pairs share; a document's are few, so they travel instead of its set
+    listed = entries.groupBy("id", "n").agg(F.collect_list("gram").alias("grams"))
+    listed = stored(listed.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id"))
+    of_a, of_b = (listed.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab")
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    pairs = pairs.join(of_a, "a").join(of_b, "b").where(_may_reach(shared, F.col("n_a"), F.col("n_b"), least)).select("a", "b")
     links = links.union(sets.links(pairs))
     found = connected_components(links)
     return rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
