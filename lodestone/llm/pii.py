@@ -32,7 +32,7 @@ Span = tuple[int, int, int]  # start, kind, end
 _MARK = re.compile("[0-9@]").search
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
-_DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*[0-9]").finditer
+_DOTTED = re.compile("[0-9.]+").finditer
 _DIGITS = re.compile("[0-9]+").finditer
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
