@@ -10,7 +10,7 @@ product of this matrix with its transpose, taken block by block as a join on
 the n-gram and a sum for each pair of documents, counts shared n-grams; a pair
 whose count, and all that it could still share beyond, stays below the bound
 that the two sizes set is dropped; so is one whose sizes, or the places of a
-shared n-gram in both, leave too little to share. Of a pair, the smaller
+shared n-gram in both, or their sketches' difference, leave too little to share. Of a pair, the smaller
 document needs fewer n-grams still, n - ceil(2 t n / (1 + t)) + 1. What is left
 is checked on the full sets.
 
@@ -66,9 +66,19 @@ def _name(grams: np.ndarray) -> int:
     return int(mix(np.array([mix(grams).sum(dtype=U64) + U64(len(grams))], U64)).view(np.int64)[0]) if len(grams) else 0
 
 
+#: 64-bit words of a set's sketch.
+SKETCH = 4
+
+
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of n-grams falls on it: two sets differ in as many n-grams as bits, at least."""
+    odd = np.bincount((grams >> U64(17)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _read(n: int):
-    """(doc_id, text) to rows of two kinds: documents (doc_id, n, set), and frequent n-grams (gram, n)."""
-    names = ["doc_id", "n", "name", "gram"]
+    """(doc_id, text) to rows of two kinds: documents (doc_id, n, set, sketch), and frequent n-grams (gram, n)."""
+    names = ["doc_id", "n", "name", "gram", *(f"s{i}" for i in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -79,19 +89,20 @@ def _read(n: int):
             keep = count > 2
             k = int(keep.sum())
             none = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(count[keep].astype(np.int64)), none, long_array(grams[keep])], names=names)
+            return pa.RecordBatch.from_arrays([none, pa.array(count[keep].astype(np.int64)), none, long_array(grams[keep]), *[none] * SKETCH], names=names)
 
         for batch in batches:
             for a, b, data, offsets in steps(batch.column(1)):
-                count, name = [], []
+                count, name, sketch = [], [], []
                 for grams in _sets(data, offsets, n):
                     count.append(len(grams))
+                    sketch.append(_sketch(grams))
                     name.append(_name(grams))
                     if len(grams) and name[-1] not in seen:
                         seen.add(name[-1])
                         held.append(grams)
                         size += len(grams)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(count, pa.int64()), pa.array(name, pa.int64()), pa.nulls(b - a, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(count, pa.int64()), pa.array(name, pa.int64()), pa.nulls(b - a, pa.int64()), *map(pa.array, np.array(sketch).T)], names=names)
                 if size > COUNTED_AT_ONCE:
                     yield frequent()
                     held, size, seen = [], 0, set()
@@ -182,6 +193,13 @@ def _places_allow(least: tuple[int, int]) -> Column:
     return sum(least) * (F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)) >= least[0] * (n_a + n_b)
 
 
+def _sketches_allow(least: tuple[int, int]) -> Column:
+    """Whether two documents differ little enough, as far as their sketches tell."""
+    apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH)), F.lit(0))
+    both = F.col("n_a") + F.col("n_b")
+    return F.coalesce(sum(least) * (both - apart) >= 2 * least[0] * both, F.lit(True))
+
+
 class _Sets:
     """Checks pairs of classes on their full shingle sets."""
 
@@ -233,8 +251,8 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     """
     docs = clean(docs, id_col, text_col)
     spark = docs.sparkSession
-    read = stored(docs.mapInArrow(_read(n), "doc_id long, n long, name long, gram long"))
-    rows = read.where("gram IS NULL").select("doc_id", "n", "name")
+    read = stored(docs.mapInArrow(_read(n), "doc_id long, n long, name long, gram long" + "".join(f", s{i} long" for i in range(SKETCH))))
+    rows = read.where("gram IS NULL").drop("gram")
     classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(F.min("doc_id").alias("rep")))
     rows = stored(rows.join(classes, ["n", "name"], "left"))
 
@@ -256,7 +274,11 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     kept = _kept(F.col("n"), least)
     about = entries.groupBy("id", "n", "rare").agg(F.count_if(F.col("is_rare")).alias("listed"))
     about = stored(about.select("id", (F.col("n") - F.least(F.col("rare"), kept) + F.col("listed")).alias("most"), (F.col("rare") <= kept).alias("covers")))
-    entries = stored(entries.select("gram", "id", "n", "at").join(about, "id"))
+    # an id that several texts share has no sketch, and is never dropped by it
+    alike = F.min("name") == F.max("name")
+    sketches = rows.where("doc_id = rep").groupBy(F.col("rep").alias("id")).agg(*[F.when(alike, F.min(f"s{i}")).alias(f"s{i}") for i in range(SKETCH)])
+    about = stored(about.join(sketches, "id", "left"))
+    entries = stored(entries.select("gram", "id", "n", "at").join(about.select("id", "most", "covers"), "id"))
 
     sets = _Sets(docs, classes, n, least)
     # each class against one partner: of the most typical members of its lists, the one with which it shares most
@@ -269,18 +291,20 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
         .where(_may_reach(F.col("shared"), F.col("n_a"), F.col("n_b"), least))
         .groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     )
-    links = sets.links(stars.select("a", "b"))
+    of_a, of_b = (about.join(owner.select(F.col("rep").alias("id"), "n").distinct(), "id").select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"s{i}").alias(f"s{i}_{s}") for i in range(SKETCH)]) for s in "ab")
+    links = sets.links(stars.join(of_a, "a").join(of_b, "b").where(_sketches_allow(least)).select("a", "b"))
     found = connected_components(links)
 
     # the product, between different components; of a pair, a is the smaller
     parts = entries.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     parts = stored(parts)
     mixed = stored(parts.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("gram"))
-    parts = stored(parts.join(mixed, "gram"))
-    left, right = (parts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at", "most", "covers", "part")]) for s in "ab")
+    parts = stored(parts.join(mixed, "gram").join(about.drop("most", "covers"), "id"))
+    carried = ["id", "n", "at", "most", "covers", "part", *(f"s{i}" for i in range(SKETCH))]
+    left, right = (parts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in carried]) for s in "ab")
     left = left.where(F.col("at_a") < _kept_as_smaller(F.col("n_a"), least))
     smaller = F.struct("n_a", "most_a", "id_a") < F.struct("n_b", "most_b", "id_b")
-    allowed = smaller & (F.col("part_a") != F.col("part_b")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least) & _places_allow(least)
+    allowed = smaller & (F.col("part_a") != F.col("part_b")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least) & _places_allow(least) & _sketches_allow(least)
     pairs = stored(left.join(right, "gram").where(allowed).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     # how many of their kept n-grams the pairs share; a document's are few, so they travel instead of its set
     listed = entries.groupBy("id", "n").agg(F.collect_list("gram").alias("grams"))
