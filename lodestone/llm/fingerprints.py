@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .sharding import let
 
 K, S = 12, 2
-_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Thai and Lao, Burmese, Khmer, kana, Han with its extensions: ranges, as a script's name is looked up for each character.
+_UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 TOKEN = rf"[{_UNSPACED}]|[^ \t-\r{_UNSPACED}]{{1,32}}"
 #: Rows that a bucket of neighbouring ids should hold.
 BUCKET_ROWS = 1500
@@ -43,7 +44,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         def edges(g: Column) -> Column:
             places = F.filter(
                 F.sequence(F.lit(0), F.size(h) - k),
-                lambda i: let(F.array_min(F.slice(g, i + 1, inner)), lambda low: (F.get(g, i) == low) | (F.get(g, i + (inner - 1)) == low)),
+                lambda i: F.array_min(F.slice(g, i + 1, inner)) == F.least(F.get(g, i), F.get(g, i + (inner - 1))),
             )
             return F.transform(places, lambda i: F.hash(F.slice(h, i + 1, k)))
 
@@ -62,12 +63,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` with ``next_<column>`` of the document that follows by descending id; the first follows the last.
 
     Ids are cut into buckets by quantiles, and those evenly once more; each
     bucket also gets the first row of the next bucket, so that no task sees
-    more than a bucket. Rows of one id stand in the order of their texts'
+    more than a bucket. ``derived`` columns are computed once for each row and
+    copy, and may be among ``columns``. Rows of one id stand in the order of their texts'
     digests, null ids after all others.
     """
     low = -(1 << 63)
@@ -93,6 +95,7 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_
     copies = rows.join(F.broadcast(heads), "_id").withColumn("_nth", F.row_number().over(W.partitionBy("_to", "_wraps").orderBy(digest))).where("_nth = 1")
     copies = copies.withColumn("_bucket", F.col("_to")).withColumn("_copy", F.when(F.col("_wraps"), 2).otherwise(1))
     both = rows.withColumn("_copy", F.lit(0)).unionByName(copies.select(*rows.columns, "_copy"))
+    both = both.withColumns(derived or {})
     order = W.partitionBy("_bucket").orderBy(F.col("_copy"), F.col("_id").desc(), digest)
     return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_copy = 0").drop("_id", "_bucket", "_copy")
 
@@ -104,8 +107,7 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     replaced by as many from the start of the next document.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("anchors", anchors(F.col("text")))
-    rows = with_next(rows, ["text", "anchors"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = with_next(rows, ["text", "anchors"], {"anchors": anchors(F.col("text"))}).withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.expr("left(text, cast(n_chars as int) - cast(floor(n_chars / 3) as int))"), F.substring("next_text", F.lit(1), third))
     rows = rows.withColumn("edited", edited)
