@@ -15,8 +15,10 @@ Nulls count as empty texts; an empty text has no tokens and decodes to "".
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -34,6 +36,8 @@ from .base import clean
 #: Runs of characters remembered by one worker (twice as many for a while).
 REMEMBERED = 1 << 18
 NO_MERGE = 1 << 24
+#: Symbols from which a fragment is merged by itself.
+LONG = 128
 #: Above this code point, case and character classes are left to the library.
 PLAIN_UP_TO = "ԯ"
 #: Space to Python, but not to the vocabulary's patterns.
@@ -94,6 +98,11 @@ class ForcedBoundaryBPE:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.rank[at], NO_MERGE)
 
+    @functools.cached_property
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """Pair of ids, packed, to its rank and the id of the two together; for long fragments."""
+        return {k: (r, int(self.both[r])) for k, r in zip(self.pair.tolist(), self.rank.tolist())}
+
     def words(self, words: list[str]) -> tuple[list[int], list[int]]:
         """Ids of all pre-tokens, put together, and where each one's ids end.
 
@@ -121,6 +130,14 @@ class ForcedBoundaryBPE:
         part[first[1:]] = 1
         part = np.cumsum(part)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        size = np.diff(np.r_[first, n])
+        for i in np.flatnonzero(size > LONG):
+            a, b = first[i], first[i] + size[i]
+            kept, left = merge_long(ids[a:b].tolist(), self.merges)
+            done.append((np.array(kept) + a, np.array(left)))
+        short = np.repeat(size <= LONG, size)
+        place, ids, part = place[short], ids[short], part[short]
+        n = len(ids)
         rank = np.full(n, NO_MERGE)
         if n > 1:
             rank[:-1] = np.where(part[:-1] == part[1:], self.ranks(ids[:-1], ids[1:]), NO_MERGE)
@@ -220,6 +237,28 @@ class ForcedBoundaryBPE:
         return " ".join([self.names[i] for i in ids if 0 <= i < len(self.names)])
 
 
+def merge_long(ids: list[int], merges: dict[int, tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """The same merges by a heap: n log n for a long fragment. Places where the ids left began, and those ids."""
+    n = len(ids)
+    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+    heap = [(*merges[p], i, p) for i in range(n - 1) if (p := ids[i] << 32 | ids[i + 1]) in merges]
+    heapq.heapify(heap)
+    while heap:
+        _, both, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] < 0 or j < 0 or ids[i] << 32 | ids[j] != pair:
+            continue
+        ids[i], ids[j] = both, -1
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b >= 0 and (p := ids[a] << 32 | ids[b]) in merges:
+                heapq.heappush(heap, (*merges[p], a, p))
+    kept = [i for i in range(n) if ids[i] >= 0]
+    return kept, [ids[i] for i in kept]
+
+
 _made: dict[str, ForcedBoundaryBPE] = {}
 
 
