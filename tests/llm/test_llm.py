@@ -286,6 +286,43 @@ def test_passages_cover_every_exact_repeat(spark):
                 assert any(a <= k and k + 50 <= b for a, b in spans[i]), (i, k)
 
 
+def apart(r, n, sizes, gaps):
+    """Pairs of texts that share passages of ``sizes`` words with own words between, as many as ``gaps`` says for each."""
+    out = []
+    for _ in range(n):
+        shared = [[f"p{r.randrange(9999)}" for _ in range(k)] for k in sizes]
+        both = []
+        for gap in gaps:
+            w = [f"o{r.randrange(10**6)}" for _ in range(30)]
+            for p in shared:
+                w += p + [f"o{r.randrange(10**6)}" for _ in range(gap)]
+            both.append(w)
+        out.append(both)
+    return out
+
+
+def uncovered(spark, rows):
+    """Places (document, word) of runs of 50 words in two documents that no passage of the document holds."""
+    got = substring_dedup.find_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")).collect()
+    spans, seen = defaultdict(list), defaultdict(set)
+    for x in got:
+        assert x.n_words >= 50 and x.similarity >= 0.8
+        spans[x.doc_id].append((x.start_word, x.end_word))
+    for i, w in rows.items():
+        for k in range(len(w) - 49):
+            seen[tuple(w[k : k + 50])].add((i, k))
+    return [(i, k) for places in seen.values() if len({i for i, _ in places}) > 1 for i, k in places if not any(a <= k and k + 50 <= b for a, b in spans[i])]
+
+
+def test_two_passages_of_a_pair_are_both_found(spark):
+    r = random.Random(11)
+    rows = {}
+    for sizes, gaps in [((60, 60), (40, 40)), ((60, 60), (80, 80)), ((60, 60), (100, 100)), ((60, 60), (0, 60)), ((100, 100), (100, 100)), ((60, 55, 70), (45, 90))]:
+        for both in apart(r, 5, sizes, gaps):
+            rows |= {len(rows) + k: w for k, w in enumerate(both)}
+    assert uncovered(spark, rows) == []
+
+
 def test_common_subsequence_and_chains():
     r = np.random.default_rng(1)
     for _ in range(40):
