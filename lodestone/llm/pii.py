@@ -7,8 +7,9 @@ small labelled table below and decoded by Viterbi, many chains at once. It adds
 spans where the base has none (spelled-out addresses, numbers without country
 code and the like); base spans always stay.
 
-A chain is a stretch of words around words with a digit or an at sign; all
-other words are outside. Places count code points, ends are exclusive. Nulls
+Every word of a text is decoded. Words that no path through a span could pay
+for are outside on any best path; the stretches between them are chains, each
+decoded exactly. Places count code points, ends are exclusive. Nulls
 count as empty texts, which have no spans.
 """
 
@@ -173,12 +174,73 @@ class Field:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.index, self.emit, self.move = index, emit, move
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), N_LABELS))
-        for i in range(len(words)):
-            out[i] = self.emit[[k for f in features(words, i) if (k := self.index.get(f)) is not None]].sum(0)
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        # the first word stands for a missing one, before and after a text
+        self._known: dict[str, int] = {}
+        self._like: dict[str, int] = {}
+        self._size = 0
+        self._parts = np.zeros((1024, 3, N_LABELS))
+        self._parts[0, 1:] = [self._sum(["p--"]), self._sum(["p+-"])]
+
+    def _sum(self, feats: list[str]) -> np.ndarray:
+        return self.emit[[k for f in feats if (k := self.index.get(f)) is not None]].sum(0)
+
+    def _number(self, word: str) -> int:
+        """Row of ``_parts``: what a word adds to its own scores, to the next word's and to the one's before."""
+        self._size += len(word)
+        like = word
+        if word.strip(".,:;").lower() not in _NEAR_WORDS:
+            # features of any other word with letters, digits and signs at the same places are the same
+            like = word.translate(_LETTERS)
+            if not like.isascii():
+                like = "".join(c if c < "\x80" or c.isdigit() else "a" for c in like)
+        if k := self._like.get(like):
+            self._known[word] = k
+            return k
+        k = self._known[word] = self._like[like] = len(self._like) + 1
+        if k == len(self._parts):
+            self._parts = np.concatenate([self._parts, np.zeros_like(self._parts)])
+        own, after, before = features([word], 0), features([word, ""], 1), features(["", word], 0)
+        self._parts[k] = [
+            self._sum([f for f in own if f not in ("p--", "p+-")]),
+            self._sum([f for f in after if f.startswith(("p-", "w-"))]),
+            self._sum([f for f in before if f.startswith(("p+", "w+"))]),
+        ]
+        return k
+
+    def scores(self, texts: list[list[str]]) -> np.ndarray:
+        """Scores of the words of some texts, one after the other."""
+        if len(self._known) > KNOWN_WORDS or self._size > 100 * KNOWN_WORDS:
+            self._forget()
+        known, number = self._known, self._number
+        ids = [0]
+        for words in texts:
+            ids += [known.get(w) or number(w) for w in words]
+            ids.append(0)
+        at = np.array(ids)
+        out = self._parts[at[1:-1], 0]
+        out += self._parts[at[:-2], 1]
+        out += self._parts[at[2:], 2]
+        return out[at[1:-1] > 0]
+
+    def possible(self, x: np.ndarray) -> np.ndarray:
+        """Whether a word with scores ``x`` can be in a span of a best path; all others are outside.
+
+        No labels of a stretch inside spans can score more than its words'
+        best ones with the dearest moves; where that is less than what the
+        stretch scores outside, for every stretch with the word, it is outside.
+        """
+        inside = [k for k in range(N_LABELS) if k != _OUT]
+        rest = self.move[_OUT, _OUT]
+        step = self.move[np.ix_(inside, inside)].max() - rest
+        ends = max(0, self.move[_OUT, inside].max() - rest) + max(0, self.move[inside, _OUT].max() - rest) - step
+        gain = x[:, inside].max(1) - x[:, _OUT] + step
+        total = np.r_[0, np.cumsum(gain)]
+        low = np.minimum.accumulate(total[:-1])
+        high = np.maximum.accumulate(total[:0:-1])[::-1]
+        return high - low + ends > -1e-6
 
     def viterbi(self, chains: list[np.ndarray]) -> list[np.ndarray]:
         """Best labels of all chains at once; shorter ones are padded at the end."""
@@ -264,39 +326,49 @@ def train(rows: list[str] = LABELLED, rounds: int = 60, rate: float = 0.3, decay
     return Field(index, emit, move + bar)
 
 
-#: Words on either side of a word with a digit or an at sign that belong to its chain.
-AROUND = 3
-LONGEST_CHAIN = 256
-
-
-def chains_of(text: str) -> list[list[tuple[int, int]]]:
-    """Stretches of words around each word with a digit or an at sign."""
-    if not _MARK(text):
-        return []
-    words = [m.span() for m in _TOKEN(text)]
-    marked = [i for i, (a, b) in enumerate(words) if _MARK(text, a, b)]
-    out: list[list[int]] = []
-    for i in marked:
-        low, high = max(0, i - AROUND), min(len(words), i + AROUND + 1)
-        if out and low <= out[-1][1] and high - out[-1][0] <= LONGEST_CHAIN:
-            out[-1][1] = high
-        else:
-            out.append([max(low, out[-1][1]) if out else low, high])
-    return [words[a:b] for a, b in out]
+#: Words whose scores a field keeps; beyond that it starts anew.
+KNOWN_WORDS = 100_000
+#: Words, with padding, that one step of decoding works on.
+MOST_DECODED = 200_000
 
 
 def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[list[Span]]:
     """Spans of the random field that touch no base span, for each text."""
     found: list[list[Span]] = [[] for _ in texts]
+    words = [t.split() for t in texts]
+    x = field.scores(words)
+    if not len(x):
+        return found
+    first = np.r_[0, np.cumsum([len(w) for w in words])]
     owner, places, scores = [], [], []
-    for i, text in enumerate(texts):
-        for chain in chains_of(text):
-            owner.append(i)
-            places.append(chain)
-            scores.append(field.scores([text[a:b] for a, b in chain]))
+    spans: list[tuple[int, int]] = []
+    last = -1
+    inside = np.r_[False, field.possible(x), False]
+    cut = np.flatnonzero(inside[1:] != inside[:-1])
+    for low, high in zip(cut[::2].tolist(), cut[1::2].tolist()):
+        i = int(np.searchsorted(first, low, "right")) - 1
+        while low < high:
+            end = min(high, int(first[i + 1]))
+            if low < end:
+                if i != last:
+                    last, spans = i, [m.span() for m in _TOKEN(texts[i])]
+                # the words on either side are outside
+                a, b = max(low - 1, int(first[i])), min(end + 1, int(first[i + 1]))
+                own = x[a:b].copy()
+                own[: low - a, np.arange(N_LABELS) != _OUT] = -1e6
+                own[end - a :, np.arange(N_LABELS) != _OUT] = -1e6
+                owner.append(i)
+                places.append(spans[a - int(first[i]) : b - int(first[i])])
+                scores.append(own)
+            low, i = end, i + 1
     order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
-    for at in range(0, len(order), 512):
-        some = order[at : at + 512]
+    at = 0
+    while at < len(order):
+        # shorter chains are padded to the longest one
+        more = at + 1
+        while more < min(len(order), at + 512) and (more + 1 - at) * len(scores[order[more]]) <= MOST_DECODED:
+            more += 1
+        some, at = order[at:more], more
         for j, labels in zip(some, field.viterbi([scores[j] for j in some])):
             i, chain = owner[j], places[j]
             k = 0

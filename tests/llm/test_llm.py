@@ -248,6 +248,27 @@ def test_field_adds_what_the_base_misses_and_keeps_the_rest():
     assert pii.redact("a x@y.org b", pii.base_spans("a x@y.org b")) == "a [email] b"
 
 
+def test_spelled_out_addresses_without_a_digit_or_at_sign():
+    rows = ["write to kim at example dot com or call", "her address is lee (at) mail.example.net since then", "plain words only", "", "we met them at the house"]
+    more = pii.added_spans(rows, [pii.base_spans(t) for t in rows], pii.train())
+    assert [[t[a:b] for a, _, b in s] for t, s in zip(rows, more)] == [["kim at example dot com"], ["lee (at) mail.example.net"], [], [], []]
+
+
+def test_every_word_is_decoded():
+    """Spans are those of a best path over the whole text with each word's features."""
+    r = random.Random(8)
+    field = pii.train()
+    cues = "at dot (at) (dot) call phone kim mail.example.net 555-0147 (212) the of and house , 12 @home +1 x.y a1 2019 example com card".split()
+    rows = [" ".join(r.choice(cues) if r.random() < 0.3 else r.choice("some plain words without any cue".split()) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    got = pii.added_spans(rows, [[]] * len(rows), field)
+    for t, spans in zip(rows, got):
+        w = t.split()
+        x = np.array([field.emit[[field.index[f] for f in pii.features(w, i) if f in field.index]].sum(0) for i in range(len(w))]).reshape(-1, pii.N_LABELS)
+        assert np.allclose(field.scores([w]), x)
+        labels = field.viterbi([x])[0] if w else []
+        assert [k for _, k, _ in sorted(spans)] == [int(k) for k in labels if k < len(pii.KINDS)]
+
+
 def test_viterbi_equals_all_paths():
     import itertools
 
