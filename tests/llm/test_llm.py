@@ -344,6 +344,25 @@ def test_two_passages_of_a_pair_are_both_found(spark):
     assert uncovered(spark, rows) == []
 
 
+def test_a_run_that_first_holders_have_cut_up_is_found(spark):
+    r = random.Random(13)
+    rows = {}
+
+    def own(n):
+        return [f"o{r.randrange(10**6)}" for _ in range(n)]
+
+    for case in range(12):
+        p = [f"p{case}x{i}" for i in range(50 + 2 * case)]
+        half = len(p) // 2
+        if case % 2:  # two holders of a half each
+            texts_ = [own(30) + p[:half] + own(30), own(30) + p[half:] + own(30)]
+        else:  # one holder with the pieces in another order
+            texts_ = [own(20) + p[half:] + own(40) + p[:half] + own(20)]
+        texts_ += [own(9) + p + own(30), own(41) + p[: len(p) - 8] + own(20), own(35) + p + own(12)]
+        rows |= {len(rows) + k: w for k, w in enumerate(texts_)}
+    assert uncovered(spark, rows) == []
+
+
 def test_common_subsequence_and_chains():
     r = np.random.default_rng(1)
     for _ in range(40):
