@@ -5,8 +5,8 @@ set no spaces; a token has 32 code points at most. Of all runs of K tokens
 those are chosen whose smallest inner run of S tokens (by digest) lies at an
 edge. Whether a run is chosen depends on the run alone, so an edit leaves all
 anchors that it doesn't touch. The digests of the chosen runs in the order of
-the text are the fingerprint; a text of under K tokens has its whole sequence
-as its one anchor, an empty one has none.
+the text are the fingerprint; a text of under K tokens, or without a chosen
+run, has its whole sequence as its one anchor, an empty one has none.
 
 Null texts count as empty; equal texts have equal fingerprints. Likeness is
 the Jaccard coefficient of the anchors, 1 for two empty fingerprints.
@@ -46,7 +46,8 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
                 F.sequence(F.lit(0), F.size(h) - k),
                 lambda i: F.array_min(F.slice(g, i + 1, inner)) == F.least(F.get(g, i), F.get(g, i + (inner - 1))),
             )
-            return F.transform(places, lambda i: F.hash(F.slice(h, i + 1, k)))
+            # short texts often have no such run
+            return let(places, lambda p: F.when(F.size(p) > 0, F.transform(p, lambda i: F.hash(F.slice(h, i + 1, k)))).otherwise(F.array(F.hash(h))))
 
         return F.when(F.size(h) >= k, let(runs, edges)).when(F.size(h) > 0, F.array(F.hash(h))).otherwise(F.array().cast("array<int>"))
 

@@ -479,6 +479,12 @@ def test_anchors_are_free_of_context(spark):
     assert len(a[0]) == closed
 
 
+def test_short_texts_have_fingerprints_of_their_own(spark):
+    rows = [(100 * n + i, " ".join(f"t{n}x{i}y{j}" for j in range(n))) for n in range(1, 21) for i in range(20)] + [(0, ""), (1, " \n")]
+    a = {x.id: x.a for x in spark.createDataFrame(rows, "id long, text string").select("id", fingerprints.anchors(F.col("text")).alias("a")).collect()}
+    assert a.pop(0) == a.pop(1) == [] and all(a.values()) and len({tuple(x) for x in a.values()}) == len(a)
+
+
 # --- op10
 
 
