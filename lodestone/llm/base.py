@@ -1,9 +1,11 @@
-"""Shared pieces: intermediate tables, byte-level word scanning and 64-bit hashing."""
+"""Shared pieces: intermediate tables, byte-level word scanning, 64-bit hashing and counting."""
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,42 +14,80 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy step works on; longer texts are taken alone.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Bytes of rows that a Python worker gets at once, at most (one row at least).
+BATCH_BYTES = 4 << 20
+_BATCH, _CLEANUP = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    A folder of this machine is used only where the setting is unset, as in tests.
+    Where the setting is unset, a local session gets a folder of this machine;
+    on a cluster that is an error, as executors would not see it.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="lodestone-")
+        logging.getLogger(__name__).warning("spark.checkpoint.dir is unset; intermediate tables go to %s", path)
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers BATCH_BYTES at once, at most: texts differ in length, so a count of rows bounds nothing."""
+    now = spark.conf.get(_BATCH).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage with files that survive a lost executor, and gives
-    the planner true sizes.
+    the planner true sizes. The shuffle files of the write go with its end.
     """
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` made. Nothing that is still to be computed may read them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clean(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id as long and the text with null as empty; other columns go."""
+    in_small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names that none of the columns of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return [name for i in range(n + len(taken)) if (name := f"_c{i}") not in taken][:n]
+
+
 # --- text as bytes -----------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -150,5 +190,31 @@ def long_array(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64, copy=False).view(np.int64))
 
 
+class Repeated:
+    """Finds digests that come three times or more in a run of many, in room of a fixed size."""
+
+    def __init__(self, room: int):
+        self.room, self.size = np.empty(room, U64), 0
+
+    def add(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Takes distinct values up; yields (digests, counts) of each run that they fill."""
+        while len(values):
+            n = min(len(values), len(self.room) - self.size)
+            self.room[self.size : self.size + n] = values[:n]
+            self.size += n
+            values = values[n:]
+            if self.size == len(self.room):
+                yield self.take()
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """(digests, counts) of the run so far, which ends."""
+        own = self.room[: self.size]
+        own.sort()
+        self.size = 0
+        third = np.flatnonzero(own[2:] == own[:-2])
+        keys = np.unique(own[third])
+        return keys, np.searchsorted(own, keys, "right") - np.searchsorted(own, keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

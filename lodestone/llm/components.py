@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import discard, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -19,18 +19,20 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Links of a node to itself and repeated links do no harm; nulls are left out.
     """
-    edges = stored(
-        links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _is_forest_of_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = stored(both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        discard(edges, low)
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(large, low)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return stored(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots))
+    out = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots))
+    discard(edges)
+    return out
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:

@@ -26,8 +26,12 @@ all texts, and the most frequent ``KNOWN_GRAMS`` go last in the order, the
 others stand in hash order. N-grams and sets are told apart by 64-bit digests.
 
 Null texts count as empty. A document without words links with nothing; one
-with fewer words than n has its whole word sequence as its one shingle.
-Repeated rows each give a row; rows with one id count as one document.
+with fewer words than n has its whole word sequence as its one shingle. Very
+long texts are sets like others, whatever their size. Repeated rows each give
+a row; rows with one id count as one document, and rows without an id belong
+to no class. Of documents that share equally much, the smaller digest is the
+partner, which changes no component. An empty table gives an empty result.
+Other columns of the documents are never looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import U64, Words, clean, long_array, mix, shingles, steps, stored
+from .base import U64, Repeated, Words, clean, discard, long_array, mix, shingles, steps, stored, unused
 from .components import connected_components
 
 #: N-grams with a known count (8 bytes each in every worker), and how often one must be found to be among them.
@@ -81,15 +85,11 @@ def _read(n: int):
     names = ["doc_id", "n", "name", "gram", *(f"s{i}" for i in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size, seen = 0, set()
+        counted, seen = Repeated(COUNTED_AT_ONCE), set()
 
-        def frequent() -> pa.RecordBatch:
-            grams, count = np.unique(np.concatenate(held), return_counts=True)
-            keep = count > 2
-            k = int(keep.sum())
-            none = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(count[keep].astype(np.int64)), none, long_array(grams[keep]), *[none] * SKETCH], names=names)
+        def frequent(grams: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(grams), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(count.astype(np.int64)), none, long_array(grams), *[none] * SKETCH], names=names)
 
         for batch in batches:
             for a, b, data, offsets in steps(batch.column(1)):
@@ -100,23 +100,22 @@ def _read(n: int):
                     name.append(_name(grams))
                     if len(grams) and name[-1] not in seen:
                         seen.add(name[-1])
-                        held.append(grams)
-                        size += len(grams)
+                        for found in counted.add(grams):
+                            yield frequent(*found)
+                            seen.clear()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(count, pa.int64()), pa.array(name, pa.int64()), pa.nulls(b - a, pa.int64()), *map(pa.array, np.array(sketch).T)], names=names)
-                if size > COUNTED_AT_ONCE:
-                    yield frequent()
-                    held, size, seen = [], 0, set()
-        if held:
-            yield frequent()
+        if counted.size:
+            yield frequent(*counted.take())
 
     return run
 
 
 def _list(n: int, least: tuple[int, int], known):
-    """(doc_id, text) to the cut incidence matrix: (gram, salt, rare, at, doc_id).
+    """(doc_id, text) to the cut incidence matrix: (gram, salt, rare, at, n, id).
 
-    ``salt`` is 0 but for n-grams with a known count, ``at`` the n-gram's place in
-    the document's order, ``rare`` how many n-grams without a known count it has.
+    ``id`` is the digest of the whole set, ``n`` its size. ``salt`` is 0 but for
+    n-grams with a known count, ``at`` the n-gram's place in the document's order,
+    ``rare`` how many n-grams without a known count it has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,26 +125,28 @@ def _list(n: int, least: tuple[int, int], known):
         for batch in batches:
             for a, b, data, offsets in steps(batch.column(1)):
                 ids = batch.column(0)[a:b].to_pylist()
-                gram, salt, doc, rare, place = [], [], [], [], []
+                gram, salt, rare, place, size, own = [], [], [], [], [], []
                 for doc_id, grams in zip(ids, _sets(data, offsets, n)):
                     if not len(grams) or doc_id is None or (name := _name(grams)) in seen:
                         continue
                     seen.add(name)
                     keep = len(grams) - -(-len(grams) * least[0] // least[1]) + 1
                     at = np.searchsorted(grams_known, grams)
-                    at[at < len(grams_known)] = np.where(grams_known[at[at < len(grams_known)]] == grams[at < len(grams_known)], at[at < len(grams_known)], len(grams_known))
-                    count = counts_known[at]
+                    known_here = at < len(grams_known)
+                    known_here[known_here] = grams_known[at[known_here]] == grams[known_here]
+                    count = counts_known[np.where(known_here, at, len(grams_known))]
                     first = np.argsort(count, kind="stable")[:keep]
-                    gram.append(grams[first])
                     c = count[first]
-                    salt.append(np.where(c > 0, 1 + doc_id % (1 + c // LIST_ROWS), 0))
-                    doc.append(np.full(len(first), doc_id))
+                    gram.append(grams[first])
+                    salt.append(np.where(c > 0, 1 + name % (1 + c // LIST_ROWS), 0))
                     rare.append(np.full(len(first), np.count_nonzero(count == 0)))
                     place.append(np.arange(len(first)))
+                    size.append(np.full(len(first), len(grams)))
+                    own.append(np.full(len(first), name))
                 if gram:
                     yield pa.RecordBatch.from_arrays(
-                        [long_array(np.concatenate(gram)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (salt, rare, place)), pa.array(np.concatenate(doc).astype(np.int64))],
-                        names=["gram", "salt", "rare", "at", "doc_id"],
+                        [long_array(np.concatenate(gram)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (salt, rare, place, size)), pa.array(np.concatenate(own).astype(np.int64))],
+                        names=["gram", "salt", "rare", "at", "n", "id"],
                     )
 
     return run
@@ -203,8 +204,10 @@ def _sketches_allow(least: tuple[int, int]) -> Column:
 class _Sets:
     """Checks pairs of classes on their full shingle sets."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, n: int, least: tuple[int, int]):
-        self.docs, self.classes, self.n, self.least = docs, classes, n, least
+    def __init__(self, docs: DataFrame, classes: DataFrame, n: int, least: tuple[int, int], once: bool):
+        """``once``: no id stands on two rows."""
+        self.docs, self.classes, self.n, self.least, self.once = docs, classes, n, least, once
+        self.made: list[DataFrame] = []
 
     def _of(self, ids: DataFrame) -> DataFrame:
         """(id, grams) of the classes ``ids``; the text must be the class's own."""
@@ -215,13 +218,15 @@ class _Sets:
                 for a, b, data, offsets in steps(batch.column(1)):
                     made = list(_sets(data, offsets, n))
                     out = pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([g.tobytes() for g in made], pa.binary())], names=["id", "grams"])
-                    yield out.filter(pa.array([_name(g) == w for g, w in zip(made, batch.column(2)[a:b].to_pylist())], pa.bool_()))
+                    yield out.filter(pa.array([_name(g) == w for g, w in zip(made, batch.column(0)[a:b].to_pylist())], pa.bool_()))
 
-        wanted = stored(ids.distinct().join(self.classes.select(F.col("rep").alias("id"), "name"), "id"))
+        wanted = stored(ids.distinct().join(self.classes.select("id", "rep"), "id"))
+        self.made.append(wanted)
         if wanted.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
-        texts = self.docs.join(wanted, self.docs["doc_id"] == wanted["id"]).select("id", "text", "name")
-        return texts.mapInArrow(run, "id long, grams binary")
+        texts = self.docs.join(wanted, self.docs["doc_id"] == wanted["rep"]).select("id", "text")
+        made = texts.mapInArrow(run, "id long, grams binary")
+        return made if self.once else made.dropDuplicates(["id"])
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
@@ -237,10 +242,13 @@ class _Sets:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         pairs = stored(pairs)
+        self.made = [pairs]
         of_a = self._of(pairs.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("grams").alias("x"))
         of_b = self._of(pairs.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("grams").alias("y"))
         both = pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(run, "a long, b long").distinct())
+        out = stored(both.mapInArrow(run, "a long, b long").distinct())
+        discard(*self.made)
+        return out
 
 
 def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,10 +259,15 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     """
     docs = clean(docs, id_col, text_col)
     spark = docs.sparkSession
-    read = stored(docs.mapInArrow(_read(n), "doc_id long, n long, name long, gram long" + "".join(f", s{i} long" for i in range(SKETCH))))
-    rows = read.where("gram IS NULL").drop("gram")
-    classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(F.min("doc_id").alias("rep")))
-    rows = stored(rows.join(classes, ["n", "name"], "left"))
+    sketch = [f"s{i}" for i in range(SKETCH)]
+    read = stored(docs.mapInArrow(_read(n), "doc_id long, n long, name long, gram long" + "".join(f", {c} long" for c in sketch)))
+    rows = read.where("gram IS NULL").select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("id"), *sketch)
+    # equal sets have equal digests, and one id
+    classes = rows.where("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in sketch])
+    classes = stored(classes)
+    # ids that several rows share, and links between their texts
+    repeated = stored(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("high"), F.count("*").alias("rows")).where("rows > 1"))
+    same_id = rows.join(repeated.where("a != high"), "doc_id").where("id != a").select("a", F.col("id").alias("b")).distinct()
 
     # a fixed number of rows at most
     frequent = read.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "gram").limit(KNOWN_GRAMS).toArrow()
@@ -262,61 +275,69 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     order = np.argsort(grams)
     known = spark.sparkContext.broadcast((grams[order].view(np.int64), frequent["n"].to_numpy()[order]))
 
-    # lists of one document only go; a frequent n-gram's rows are known to be many, and stay
-    entries = docs.mapInArrow(_list(n, least, known), "gram long, salt int, rare int, at int, doc_id long")
-    alone = W.partitionBy("gram", "salt")
-    entries = entries.withColumns({"low": F.min("doc_id").over(alone), "high": F.max("doc_id").over(alone)}).where("salt > 0 OR low != high")
-    entries = stored(entries.select("gram", "doc_id", "at", "rare", (F.col("salt") == 0).alias("is_rare")))
-    owner = rows.where("rep IS NOT NULL").select("doc_id", "rep", "n").distinct()
-    entries = stored(entries.join(owner, "doc_id").select("gram", F.col("rep").alias("id"), "n", "at", "rare", "is_rare").distinct())
-    shared = stored(entries.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("gram"))
-    entries = stored(entries.join(shared, "gram"))
+    # one row for each set and n-gram. N-grams of one set only go; a frequent n-gram was found in three, and stays
+    entries = docs.mapInArrow(_list(n, least, known), "gram long, salt int, rare int, at int, n int, id long")
+    alike = W.partitionBy("gram", "salt").orderBy("id")
+    whole = alike.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    entries = entries.withColumns({"low": F.min("id").over(whole), "high": F.max("id").over(whole), "last": F.lag("id").over(alike)})
+    entries = entries.where("(salt > 0 OR low != high) AND NOT last <=> id").select("gram", "id", "n", "at", "rare", (F.col("salt") > 0).alias("frequent"))
     kept = _kept(F.col("n"), least)
-    about = entries.groupBy("id", "n", "rare").agg(F.count_if(F.col("is_rare")).alias("listed"))
-    about = stored(about.select("id", (F.col("n") - F.least(F.col("rare"), kept) + F.col("listed")).alias("most"), (F.col("rare") <= kept).alias("covers")))
-    # an id that several texts share has no sketch, and is never dropped by it
-    alike = F.min("name") == F.max("name")
-    sketches = rows.where("doc_id = rep").groupBy(F.col("rep").alias("id")).agg(*[F.when(alike, F.min(f"s{i}")).alias(f"s{i}") for i in range(SKETCH)])
-    about = stored(about.join(sketches, "id", "left"))
-    entries = stored(entries.select("gram", "id", "n", "at").join(about.select("id", "most", "covers"), "id"))
-
-    sets = _Sets(docs, classes, n, least)
+    listed = F.count_if(~F.col("frequent")).over(W.partitionBy("id"))
+    entries = stored(entries.select("gram", "id", "n", "at", "frequent", (F.col("n") - F.least(F.col("rare"), kept) + listed).alias("most"), (F.col("rare") <= kept).alias("covers")))
+
+    def beside(df: DataFrame, **of: Column) -> DataFrame:
+        """Aggregates over each n-gram's rows, beside them; the rows of frequent ones don't meet in one task for it."""
+        rare, many = df.where("NOT frequent"), df.where("frequent")
+        own = W.partitionBy("gram")
+        return rare.withColumns({k: v.over(own) for k, v in of.items()}).unionByName(many.join(many.groupBy("gram").agg(*[v.alias(k) for k, v in of.items()]), "gram"))
+
+    sets = _Sets(docs, classes, n, least, once=repeated.isEmpty())
     # each class against one partner: of the most typical members of its lists, the one with which it shares most
     typical = F.struct((~F.col("covers")).alias("no"), ((F.col("n") - F.col("most")) / F.col("n")).alias("lone"), "id", "n", "most", "covers")
-    lists = stored(entries.groupBy("gram").agg(F.min(typical).alias("m")).select("gram", F.col("m.id").alias("a"), *[F.col(f"m.{c}").alias(f"{c}_a") for c in ("n", "most", "covers")]))
+    lists = beside(entries, m=F.min(typical)).withColumnsRenamed({"n": "n_b", "most": "most_b", "covers": "covers_b"})
     stars = (
-        entries.withColumnsRenamed({"n": "n_b", "most": "most_b", "covers": "covers_b"}).join(lists, "gram")
-        .where((F.col("id") != F.col("a")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least))
-        .groupBy("a", "n_a", F.col("id").alias("b"), "n_b").agg(F.count("*").alias("shared"))
+        lists.select(F.col("id").alias("b"), "n_b", "most_b", "covers_b", F.col("m.id").alias("a"), *[F.col(f"m.{c}").alias(f"{c}_a") for c in ("n", "most", "covers")])
+        .where((F.col("b") != F.col("a")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least))
+        .groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("shared"))
         .where(_may_reach(F.col("shared"), F.col("n_a"), F.col("n_b"), least))
         .groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     )
-    of_a, of_b = (about.join(owner.select(F.col("rep").alias("id"), "n").distinct(), "id").select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"s{i}").alias(f"s{i}_{s}") for i in range(SKETCH)]) for s in "ab")
-    links = sets.links(stars.join(of_a, "a").join(of_b, "b").where(_sketches_allow(least)).select("a", "b"))
-    found = connected_components(links)
+    of_a, of_b = (classes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in sketch]) for s in "ab")
+    star_links = sets.links(stars.join(of_a, "a").join(of_b, "b").where(_sketches_allow(least)).select("a", "b"))
+    star_links = stored(star_links.union(same_id))
+    found = connected_components(star_links)
 
     # the product, between different components; of a pair, a is the smaller
     parts = entries.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    parts = stored(parts)
-    mixed = stored(parts.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("gram"))
-    parts = stored(parts.join(mixed, "gram").join(about.drop("most", "covers"), "id"))
-    carried = ["id", "n", "at", "most", "covers", "part", *(f"s{i}" for i in range(SKETCH))]
+    parts = beside(parts, low=F.min("part"), high=F.max("part")).where("low != high").drop("low", "high")
+    parts = stored(parts.join(classes.select("id", *sketch), "id"))
+    discard(found)
+    carried = ["id", "n", "at", "most", "covers", "part", *sketch]
     left, right = (parts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in carried]) for s in "ab")
     left = left.where(F.col("at_a") < _kept_as_smaller(F.col("n_a"), least))
     smaller = F.struct("n_a", "most_a", "id_a") < F.struct("n_b", "most_b", "id_b")
     allowed = smaller & (F.col("part_a") != F.col("part_b")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least) & _places_allow(least) & _sketches_allow(least)
     pairs = stored(left.join(right, "gram").where(allowed).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    discard(parts)
     # how many of their kept n-grams the pairs share; a document's are few, so they travel instead of its set
-    listed = entries.groupBy("id", "n").agg(F.collect_list("gram").alias("grams"))
-    listed = stored(listed.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id"))
+    paired = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    listed = stored(entries.join(paired, "id").groupBy("id", "n").agg(F.collect_list("gram").alias("grams")))
     of_a, of_b = (listed.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    pairs = pairs.join(of_a, "a").join(of_b, "b").where(_may_reach(shared, F.col("n_a"), F.col("n_b"), least)).select("a", "b")
-    links = links.union(sets.links(pairs))
-    found = connected_components(links)
-    return rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id")
-    )
+    more = sets.links(pairs.join(of_a, "a").join(of_b, "b").where(_may_reach(shared, F.col("n_a"), F.col("n_b"), least)).select("a", "b"))
+    discard(entries, pairs, listed)
+    found = connected_components(star_links.union(more))
+    discard(star_links, more)
+    # a component's name is a digest; its smallest document stands for it
+    named = classes.select("id", "rep").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = stored(named.join(smallest, "component").select("id", "rep", "component_id"))
+    discard(found, classes, repeated)
+    return rows.select("doc_id", "n", "id").join(named, "id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        # a row without a set, or without an id, is alone
+        *[F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(new) for c, new in (("rep", "class_id"), ("component_id", "component_id"))],
+    )
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -325,16 +346,16 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Data
     The document with the smallest id stays; of rows that share an id one
     stays. Rows without an id belong to no group, and stay.
     """
-    seen = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg((F.count("*") > 1).alias("_many"))
+    id_, many_, row_ = unused(docs, 3)
+    seen = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_)).agg((F.count("*") > 1).alias(many_))
     seen = stored(seen)
     few = F.broadcast(seen) if seen.count() <= BROADCAST_IDS else seen
     key = F.col(f"`{id_col}`").cast("long")
-    joined = docs.join(few, key == F.col("_kept"))
-    once = joined.where("NOT _many").select(*docs.columns)
+    joined = docs.join(few, key == F.col(id_))
+    once = joined.where(~F.col(many_)).select(*[F.col(f"`{c}`") for c in docs.columns])
     rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     digest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    many = joined.where("_many").select(F.col("_kept"), rows.alias("_row"), digest.alias("_digest"))
-    many = many.withColumn("_nth", F.row_number().over(W.partitionBy("_kept").orderBy("_digest"))).where("_nth = 1")
-    many = many.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    # the least digest of an id's rows, found by partial sums, so that no task holds them all
+    many = joined.where(F.col(many_)).groupBy(id_).agg(F.min_by(rows, digest).alias(row_)).select(*[F.col(f"{row_}.`{c}`").alias(c) for c in docs.columns])
     out = once.unionByName(docs.where(key.isNull()))
-    return out.unionByName(many) if not seen.where("_many").isEmpty() else out
+    return out.unionByName(many) if not seen.where(many_).isEmpty() else out
