@@ -9,8 +9,9 @@ only its first n - ceil(t n) + 1. Documents that link share one of those. The
 product of this matrix with its transpose, taken block by block as a join on
 the n-gram and a sum for each pair of documents, counts shared n-grams; a pair
 whose count, and all that it could still share beyond, stays below the bound
-that the two sizes set is dropped; so is one whose sizes, or the places of a
-shared n-gram in both, or their sketches' difference, leave too little to share. Of a pair, the smaller
+that the two sizes set is dropped; so is one whose sizes, or the places of the
+first shared n-gram in both, or what stands in their lists after it, or their
+sketches' difference, leave too little to share. Of a pair, the smaller
 document needs fewer n-grams still, n - ceil(2 t n / (1 + t)) + 1. What is left
 is checked on the full sets.
 
@@ -189,9 +190,30 @@ def _may_reach(shared: Column, n_a: Column, n_b: Column, least: tuple[int, int])
 
 
 def _places_allow(least: tuple[int, int]) -> Column:
-    """Whether two documents that share the n-grams at these places can share enough before and after them."""
+    """Whether two documents can share enough if the n-gram at these places is the first that they share.
+
+    All that they share then stands from here on in both. A pair that links
+    passes at its first one, so the rows of later ones need not be made.
+    """
     n_a, n_b, at_a, at_b = (F.col(c) for c in ("n_a", "n_b", "at_a", "at_b"))
-    return sum(least) * (F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)) >= least[0] * (n_a + n_b)
+    return sum(least) * F.least(n_a - at_a, n_b - at_b) >= least[0] * (n_a + n_b)
+
+
+def _may_be_first() -> Column:
+    """Whether an n-gram may be the first that two documents share: not if the one before it is the same in both lists."""
+    return F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
+
+
+def _rest_allows(least: tuple[int, int]) -> Column:
+    """Whether what else stands in the lists is enough, if an n-gram is the first that two documents share.
+
+    ``left`` counts a document's listed n-grams from this one on. Of the two,
+    the one whose kept n-grams end first in the order shares no others of them,
+    and at most all that it didn't keep.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    most = F.greatest(*[F.col(f"left_{s}") + n - _kept(n, least) for s, n in (("a", n_a), ("b", n_b))])
+    return sum(least) * most >= least[0] * (n_a + n_b)
 
 
 def _sketches_allow(least: tuple[int, int]) -> Column:
@@ -283,7 +305,9 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     entries = entries.where("(salt > 0 OR low != high) AND NOT last <=> id").select("gram", "id", "n", "at", "rare", (F.col("salt") > 0).alias("frequent"))
     kept = _kept(F.col("n"), least)
     listed = F.count_if(~F.col("frequent")).over(W.partitionBy("id"))
-    entries = stored(entries.select("gram", "id", "n", "at", "frequent", (F.col("n") - F.least(F.col("rare"), kept) + listed).alias("most"), (F.col("rare") <= kept).alias("covers")))
+    down = W.partitionBy("id").orderBy("at")
+    left, before = F.count("*").over(down.rowsBetween(0, W.unboundedFollowing)).cast("int").alias("left"), F.lag("gram").over(down).alias("before")
+    entries = stored(entries.select("gram", "id", "n", "at", "frequent", left, before, (F.col("n") - F.least(F.col("rare"), kept) + listed).alias("most"), (F.col("rare") <= kept).alias("covers")))
 
     def beside(df: DataFrame, **of: Column) -> DataFrame:
         """Aggregates over each n-gram's rows, beside them; the rows of frequent ones don't meet in one task for it."""
@@ -312,11 +336,11 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     parts = beside(parts, low=F.min("part"), high=F.max("part")).where("low != high").drop("low", "high")
     parts = stored(parts.join(classes.select("id", *sketch), "id"))
     discard(found)
-    carried = ["id", "n", "at", "most", "covers", "part", *sketch]
+    carried = ["id", "n", "at", "left", "before", "most", "covers", "part", *sketch]
     left, right = (parts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in carried]) for s in "ab")
     left = left.where(F.col("at_a") < _kept_as_smaller(F.col("n_a"), least))
     smaller = F.struct("n_a", "most_a", "id_a") < F.struct("n_b", "most_b", "id_b")
-    allowed = smaller & (F.col("part_a") != F.col("part_b")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least) & _places_allow(least) & _sketches_allow(least)
+    allowed = smaller & (F.col("part_a") != F.col("part_b")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least) & _may_be_first() & _places_allow(least) & _rest_allows(least) & _sketches_allow(least)
     pairs = stored(left.join(right, "gram").where(allowed).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     discard(parts)
     # how many of their kept n-grams the pairs share; a document's are few, so they travel instead of its set
