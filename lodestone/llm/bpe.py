@@ -288,7 +288,10 @@ def encode_documents(
     """Tokens of every whole text: doc_id, n_tokens, then as asked for ``ids``, ``decoded`` and the SHA-256 of both.
 
     ``vocabulary`` is the path of a vocabulary file on the driver. Its content,
-    of fixed size, travels in one broadcast. Repeated rows each give a row.
+    of fixed size, travels in one broadcast. Null texts count as empty and have no
+    tokens; a very long text is cut at certain places only, so its tokens are those of
+    the whole. Repeated rows each give a row, as do null ids; an empty table gives an
+    empty result. Other columns are never looked at, whatever their names.
     """
     spark: SparkSession = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
@@ -297,9 +300,17 @@ def encode_documents(
     arrow = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = gc.isenabled()
+        gc.disable()  # the remembered runs hold no cycles, and scanning them over and over is costly
+        try:
+            yield from encoded(batches)
+        finally:  # the worker goes on with other tasks
+            if on:
+                gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(spec.value)
         sha = hashlib.sha256
-        gc.disable()  # the remembered runs hold no cycles, and scanning them over and over is costly
         for whole in batches:
             for a in range(0, max(1, whole.num_rows), 256):
                 batch = whole.slice(a, 256)
