@@ -9,8 +9,12 @@ code and the like); base spans always stay.
 
 Every word of a text is decoded. Words that no path through a span could pay
 for are outside on any best path; the stretches between them are chains, each
-decoded exactly. Places count code points, ends are exclusive. Nulls
-count as empty texts, which have no spans.
+decoded exactly, however long. Places count code points, ends are exclusive.
+
+Null texts count as empty and have no spans; null ids and repeated rows each
+give a row. An empty table gives an empty result. ``find_personal`` looks at no
+other columns; ``redact_documents`` passes them on as they are, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import clean
+from .base import clean, in_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -150,7 +154,7 @@ _NEAR_WORDS = frozenset("at dot (at) (dot) call phone tel mail contact ring dial
 
 def shape(word: str) -> str:
     """Letters by case, digits as 9, long runs shortened."""
-    s = "".join(c if c < "\x80" else "a" for c in word[:64].translate(_LETTERS))
+    s = "".join(c if c < "\x80" else "a" for c in word.translate(_LETTERS))
     return _RUN.sub(lambda m: m[1] * 4 + ("+" if len(m[0]) < 12 else "++"), s)
 
 
@@ -251,7 +255,7 @@ class Field:
         for i, c in enumerate(chains):
             x[i, : len(c)] = c
         size = np.array([len(c) for c in chains])
-        best, back = x[:, 0].copy(), np.zeros((n, t, N_LABELS), np.int64)
+        best, back = x[:, 0].copy(), np.zeros((n, t, N_LABELS), np.int8)
         for k in range(1, t):
             way = best[:, :, None] + self.move
             back[:, k] = way.argmax(1)
@@ -428,6 +432,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", field: Field | None = None) -> DataFrame:
     """``docs`` with all columns, personal data in the text replaced and the length set anew; null texts stay null."""
+    in_small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field or train())
     at = docs.columns.index(text_col)
 
