@@ -7,9 +7,12 @@ attention learns by itself which passages decide.
 
 The model is fitted in numpy on a bounded sample of labelled rows
 (``sample``), and scores every whole text. Null and empty texts count as one
-empty passage. Labels that are null are no labels; of several labels of a
-document the smallest counts. Without labels of both kinds every score is the
-share of label 1, or 0.5.
+empty passage; a very long text has as many passages as it needs. Labels that
+are null are no labels; of several labels of a document the smallest counts.
+Without labels of both kinds every score is the share of label 1, or 0.5, as
+it is where the labelled documents are missing or the tables empty. Repeated
+rows and null ids each get a score; equal texts get equal ones. Other columns
+are never looked at, and ``keep_good`` passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, clean, steps
+from .base import Words, clean, in_small_batches, steps
 
 PASSAGE_WORDS = 64
-#: Passages of one document used in fitting; scoring uses all.
-FITTED_PASSAGES = 48
 # bytes: control, each printable ASCII character, lead and trail bytes of others
 _CLASS = np.zeros(256, np.int64)
 _CLASS[32:127] = np.arange(1, 96)
@@ -99,8 +100,24 @@ class Model:
         return self.forward((x - self.mean) / self.scale, first)[0].astype(np.float64)
 
 
+def gradient(model: Model, x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the documents' mean logistic loss, written out."""
+    w = model.weights
+    p, k = model.forward(x, first)
+    err = ((p - labels) / len(labels)).astype(x.dtype)
+    size = np.diff(first)
+    each = np.repeat(err, size)
+    z, t, g, a = k["z"], k["t"], k["g"], k["a"]
+    back = z @ w["c"]  # what each passage adds to the bag's logit
+    da = a * (back - np.repeat(np.add.reduceat(a * back, first[:-1]), size)) * each
+    dt, dg = da[:, None] * w["a"] * g * (1 - t * t), da[:, None] * w["a"] * t * g * (1 - g)
+    dz = (a * each)[:, None] * w["c"] + dt @ w["V"].T + dg @ w["U"].T
+    dh = dz * (1 - z * z)
+    return {"E": x.T @ dh, "e": dh.sum(0), "V": z.T @ dt, "U": z.T @ dg, "a": (t * g).T @ da, "c": k["bag"].T @ err, "b": err.sum()}
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, *, hidden: int = 24, gate: int = 12, epochs: int = 10, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> Model:
-    """Adam on the logistic loss of documents; all gradients are written out."""
+    """Adam on the logistic loss of documents."""
     none = Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), {}, float(labels.mean()) if len(labels) else 0.5)
     if len(set(labels.tolist())) < 2:
         return none
@@ -125,16 +142,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, hidden: int = 24, gate: i
             x = np.concatenate([bags[i] for i in pick])
             size = np.array([len(bags[i]) for i in pick])
             first = np.r_[0, np.cumsum(size)]
-            p, k = model.forward(x, first)
-            err = ((p - labels[pick]) / len(pick)).astype(np.float32)
-            each = np.repeat(err, size)
-            z, t, g, a = k["z"], k["t"], k["g"], k["a"]
-            back = z @ w["c"]  # what each passage adds to the bag's logit
-            da = a * (back - np.repeat(np.add.reduceat(a * back, first[:-1]), size)) * each
-            dt, dg = da[:, None] * w["a"] * g * (1 - t * t), da[:, None] * w["a"] * t * g * (1 - g)
-            dz = (a * each)[:, None] * w["c"] + dt @ w["V"].T + dg @ w["U"].T
-            dh = dz * (1 - z * z)
-            grad = {"E": x.T @ dh, "e": dh.sum(0), "V": z.T @ dt, "U": z.T @ dg, "a": (t * g).T @ da, "c": k["bag"].T @ err, "b": err.sum()}
+            grad = gradient(model, x, first, labels[pick])
             step += 1
             lr = rate * (1 - epoch / epochs)
             for n in w:
@@ -146,21 +154,19 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, hidden: int = 24, gate: i
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, label, text) to (doc_id, label, features of at most FITTED_PASSAGES passages, spread evenly)."""
+    """(doc_id, label, text) to (doc_id, label, features of all passages)."""
     for batch in batches:
         for a, b, data, offsets in steps(batch.column(2)):
             x, first = passages(data, offsets)
-            rows = []
-            for i in range(b - a):
-                own = x[first[i] : first[i + 1]]
-                if len(own) > FITTED_PASSAGES:
-                    own = own[np.linspace(0, len(own) - 1, FITTED_PASSAGES).astype(int)]
-                rows.append(own.tobytes())
+            rows = [x[p:q].tobytes() for p, q in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2500, seed: int = 0) -> Model:
-    """Fit on ``sample`` labelled documents at most, chosen by a digest of the id."""
+    """Fit on all passages of ``sample`` labelled documents at most, chosen by a digest of the id.
+
+    Of several texts with one id the one with the smallest digest is fitted.
+    """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).cast("long").alias("doc_id"))
@@ -169,9 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         .limit(sample)
     )
     # at most ``sample`` rows
-    rows = clean(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    got = rows.mapInArrow(_encode, "doc_id long, label int, x binary").collect()
-    got = sorted({r.doc_id: r for r in got}.values(), key=lambda r: r.doc_id)
+    rows = clean(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = sorted(rows.mapInArrow(_encode, "doc_id long, label int, x binary").collect(), key=lambda r: r.doc_id)
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in got]
     return fit(bags, np.array([r.label for r in got], np.float32), seed=seed)
 
@@ -191,6 +197,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose text scores ``least`` or more; the text is read once, in place."""
+    in_small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
