@@ -393,7 +393,7 @@ def test_neighbours_against_brute_force(spark):
     rows = [(i, [float(x) for x in a]) for i, a in enumerate(v)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] * 16), (2004, [float("inf")] * 16), (2005, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = defaultdict(list)
-    for x in ann.nearest(df.where("vec_id % 50 = 0"), df, 5, block_rows=200, block_queries=7).collect():
+    for x in ann.nearest(df.where("vec_id % 50 = 0"), df, 5, cell_rows=60, sample_rows=500).collect():
         got[x.query_id].append((x.rank, x.vec_id, x.score))
     assert set(got) == set(range(0, 900, 50))
     hits = 0
@@ -409,6 +409,37 @@ def test_neighbours_against_brute_force(spark):
     assert ann.nearest(few.limit(0), few, 5).isEmpty() and ann.nearest(few, few.limit(0), 5).isEmpty()
 
 
+def test_neighbours_of_extreme_equal_and_unlike_vectors(spark):
+    schema = "vec_id long, embedding array<double>, v string, p int, size int, ids int, query int"
+    rows = [(1, [1e-200, 0.0]), (2, [1e200, 1e200]), (3, [1.0, 1.0]), (4, [0.0, 5e-324]), (5, [1.0, 0.0, 0.0]), (6, [2.0, 0.0, 0.0]), (7, [-1e308, -1e308])]
+    df = spark.createDataFrame([(*r, "a", 1, 2, 3, 4) for r in rows], schema)
+    got = defaultdict(dict)
+    for x in ann.nearest(df, df, 5).collect():
+        got[x.query_id][x.rank] = (x.vec_id, x.score)
+    half = 0.5**0.5
+    for q, want in {1: {2: half, 3: half, 4: 0.0, 7: -half}, 2: {3: 1.0, 1: half, 4: half, 7: -1.0}, 4: {2: half, 3: half, 1: 0.0, 7: -half}, 5: {6: 1.0}}.items():
+        order = sorted(want, key=lambda i: (-want[i], i))
+        found = [got[q][k] for k in sorted(got[q])]
+        assert [i for i, _ in found] == order and all(abs(s - want[i]) < 1e-12 for i, s in found)
+    # ties at the last rank go to the smaller id, and each query row has an answer of its own
+    ties = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(20)] + [(0, [1.0, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    found = sorted((x.rank, x.vec_id) for x in ann.nearest(ties.where("vec_id = 0"), ties, 5).collect())
+    assert found == [(k, i) for k, i in enumerate((2, 4, 6, 8, 10), 1) for _ in range(2)]
+
+
+def test_neighbours_of_all_queries_on_the_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    own = {r.vec_id: r.embedding for r in df.collect()}
+    ids = np.array(sorted(own))
+    m = np.array([own[i] for i in ids], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = defaultdict(set)
+    for x in ann.nearest(df.where("vec_id % 50 = 0"), df, 5, cell_rows=64).collect():
+        got[x.query_id].add(x.vec_id)
+    hits = sum(len(got[q] & set([int(i) for i in ids[np.lexsort((ids, -(m @ m[np.searchsorted(ids, q)])))] if i != q][:5])) for q in got)
+    assert set(got) == {int(i) for i in ids if i % 50 == 0} and hits >= 0.9 * 5 * len(got)
+
+
 def test_chi_square():
     assert abs(ann.chi_square(np.array([15.507]), 8)[0] - 0.95) < 1e-4
 
