@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .base import clean
 
 #: Runs of characters remembered by one worker (twice as many for a while).
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 NO_MERGE = 1 << 24
 #: Symbols from which a fragment is merged by itself.
 LONG = 128
