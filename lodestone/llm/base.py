@@ -52,13 +52,15 @@ def stored(df: DataFrame) -> DataFrame:
 
     This cuts the lineage with files that survive a lost executor, and gives
     the planner true sizes. The shuffle files of the write go with its end.
+    Zstandard closes its buffers by itself; Snappy leaves them, outside the heap,
+    to a collection that may come late.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -71,40 +71,52 @@ def _name(grams: np.ndarray) -> int:
     return int(mix(np.array([mix(grams).sum(dtype=U64) + U64(len(grams))], U64)).view(np.int64)[0]) if len(grams) else 0
 
 
-#: 64-bit words of a set's sketch.
+#: 64-bit words of a set's short sketch.
 SKETCH = 4
 
 
-def _sketch(grams: np.ndarray) -> np.ndarray:
+def _sketch(grams: np.ndarray, words: int = SKETCH) -> np.ndarray:
     """For each bit, whether an odd number of n-grams falls on it: two sets differ in as many n-grams as bits, at least."""
-    odd = np.bincount((grams >> U64(17)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    odd = np.bincount((grams >> U64(17)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _wide(grams: np.ndarray) -> bytes:
+    """A sketch of two to four bits for each n-gram."""
+    return _sketch(grams, max(SKETCH, 1 << max(0, 2 * len(grams) - 1).bit_length() >> 6)).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many n-grams two sets differ at least, by their wide sketches; the longer one is folded to the other's size."""
+    x, y = sorted((np.frombuffer(x, U64), np.frombuffer(y, U64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
 
 
 def _read(n: int):
     """(doc_id, text) to rows of two kinds: documents (doc_id, n, set, sketch), and frequent n-grams (gram, n)."""
-    names = ["doc_id", "n", "name", "gram", *(f"s{i}" for i in range(SKETCH))]
+    names = ["doc_id", "n", "name", "gram", *(f"s{i}" for i in range(SKETCH)), "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, seen = Repeated(COUNTED_AT_ONCE), set()
 
         def frequent(grams: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
             none = pa.nulls(len(grams), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(count.astype(np.int64)), none, long_array(grams), *[none] * SKETCH], names=names)
+            return pa.RecordBatch.from_arrays([none, pa.array(count.astype(np.int64)), none, long_array(grams), *[none] * SKETCH, pa.nulls(len(grams), pa.binary())], names=names)
 
         for batch in batches:
             for a, b, data, offsets in steps(batch.column(1)):
-                count, name, sketch = [], [], []
+                count, name, sketch, wide = [], [], [], []
                 for grams in _sets(data, offsets, n):
                     count.append(len(grams))
                     sketch.append(_sketch(grams))
+                    wide.append(_wide(grams))
                     name.append(_name(grams))
                     if len(grams) and name[-1] not in seen:
                         seen.add(name[-1])
                         for found in counted.add(grams):
                             yield frequent(*found)
                             seen.clear()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(count, pa.int64()), pa.array(name, pa.int64()), pa.nulls(b - a, pa.int64()), *map(pa.array, np.array(sketch).T)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(count, pa.int64()), pa.array(name, pa.int64()), pa.nulls(b - a, pa.int64()), *map(pa.array, np.array(sketch).T), pa.array(wide, pa.binary())], names=names)
         if counted.size:
             yield frequent(*counted.take())
 
@@ -263,7 +275,15 @@ class _Sets:
                     keep.append(q * shared >= p * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        pairs = stored(pairs)
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
+                yield batch.select(["a", "b"]).filter(pa.array([(p + q) * (m + n - _apart(x, y)) >= 2 * p * (m + n) for m, x, n, y in rows], pa.bool_()))
+
+        # sketches are a small part of the sets, which only travel for pairs that those don't tell apart
+        of_a, of_b = (self.classes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab")
+        pairs = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "wide_a", "n_b", "wide_b")
+        pairs = stored(pairs.mapInArrow(near, "a long, b long"))
         self.made = [pairs]
         of_a = self._of(pairs.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("grams").alias("x"))
         of_b = self._of(pairs.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("grams").alias("y"))
@@ -282,10 +302,10 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     docs = clean(docs, id_col, text_col)
     spark = docs.sparkSession
     sketch = [f"s{i}" for i in range(SKETCH)]
-    read = stored(docs.mapInArrow(_read(n), "doc_id long, n long, name long, gram long" + "".join(f", {c} long" for c in sketch)))
-    rows = read.where("gram IS NULL").select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("id"), *sketch)
+    read = stored(docs.mapInArrow(_read(n), "doc_id long, n long, name long, gram long" + "".join(f", {c} long" for c in sketch) + ", wide binary"))
+    rows = read.where("gram IS NULL").select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("id"), *sketch, "wide")
     # equal sets have equal digests, and one id
-    classes = rows.where("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in sketch])
+    classes = rows.where("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in (*sketch, "wide")])
     classes = stored(classes)
     # ids that several rows share, and links between their texts
     repeated = stored(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("high"), F.count("*").alias("rows")).where("rows > 1"))
