@@ -11,8 +11,11 @@ Places in that order come from counts of small buckets, so no task ever holds
 a whole source.
 
 Null texts have size 0 and stay in their source; a null source is a source of
-its own, after all others. Repeated rows are rows like any other. An empty
-table gives an empty result, a source without words the target 0.
+its own, after all others. Null ids and repeated rows are rows like any other;
+rows of one id and size are interchangeable. A very long text has its whole
+size, and is drawn twice at most like any other. An empty table gives an empty
+result, a source without words the target 0. ``mix_sources`` looks at no other
+columns; ``draw`` passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .base import stored
+
 WORD = r"[^ \t-\r]+"
 #: Buckets that a size class of a source is dealt into.
 SALTS = 64
@@ -74,7 +79,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     rows = rows.withColumn("salt", (F.col("digest") % SALTS).cast("int"))
     # a null source needs a key that joins
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    buckets = rows.groupBy("key", "source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    if carried == [id_col]:
+        # counting words is the dear part: it is done once, and without the text the rows are small
+        rows = stored(rows)
+    buckets = stored(rows.groupBy("key", "source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     before = W.partitionBy("key").orderBy("class", "salt").rowsBetween(W.unboundedPreceding, -1)
     start = buckets.select("key", "class", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     rate = targets(buckets.groupBy("key", "source").agg(F.sum("size").alias("source_size")).drop("key"), weights, share, most).select(
