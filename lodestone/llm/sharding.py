@@ -8,8 +8,9 @@ rows are permuted again. Every placement of rows is then equally likely.
 
 All draws come from digests of the row and a seed: a task that is run again
 does the same again. A row's digest covers all columns that the caller names;
-rows alike in all of them are interchangeable. Null columns and empty texts
-are values like any other, an empty table gives an empty result.
+rows alike in all of them are interchangeable and share a block. Null columns,
+null ids, empty and very long texts are values like any other; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import stored, unused
 
-#: Source blocks (rows of the matrix), and buckets in which a shard's rows are permuted.
-BLOCKS, BUCKETS = 256, 64
+#: Source blocks (rows of the matrix) and buckets in which a shard's rows are permuted, at least; rows that each should hold; and as many of either at most.
+BLOCKS, BUCKETS, BLOCK_ROWS, MOST_BLOCKS = 256, 64, 50_000, 4_096
 
 
 def _unit(*cols: Column) -> Column:
@@ -133,29 +134,38 @@ def shard_rows(df: DataFrame, shards: int = 16, seed: int = 0, key_cols: list[st
     """``df`` with ``shard`` (sizes at most one apart) and ``slot`` (gapless from 0 in each shard).
 
     ``key_cols`` (all columns by default) feed the digests; they should tell
-    rows apart.
+    rows apart. Columns of ``df`` named shard or slot are replaced; any other
+    names are kept as they are.
     """
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     keys = [F.col(f"`{c}`") for c in (key_cols or df.columns)]
-    rows = df.withColumns({
-        "_block": F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), *keys), F.lit(BLOCKS)).cast("int"),
-        "_first": F.xxhash64(F.lit(seed), F.lit("first"), *keys),
-        "_second": F.xxhash64(F.lit(seed), F.lit("second"), *keys),
-    })
-    counts = rows.groupBy(F.col("_block").alias("block")).agg(F.count("*").alias("n"))
-    # of a fixed size: BLOCKS rows of ``shards`` numbers
-    matrix = F.broadcast(stored(communication_matrix(counts, shards, seed)).withColumnRenamed("block", "_block"))
-    place = F.row_number().over(W.partitionBy("_block").orderBy("_first", "_second"))
+    block, first, second, place_, upto, bucket, nth_, before_ = unused(df, 8)
+    # blocks and buckets of a size that one task holds, but no more than the matrix has room for
+    n = df.count()
+    blocks = min(MOST_BLOCKS, max(BLOCKS, math.ceil(n / BLOCK_ROWS)))
+    buckets = min(MOST_BLOCKS, max(BUCKETS, math.ceil(n / shards / BLOCK_ROWS)))
+    rows = df.select(
+        *[F.col(f"`{c}`") for c in kept],
+        F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), *keys), F.lit(blocks)).cast("int").alias(block),
+        F.xxhash64(F.lit(seed), F.lit("first"), *keys).alias(first),
+        F.xxhash64(F.lit(seed), F.lit("second"), *keys).alias(second),
+    )
+    counts = rows.groupBy(F.col(block).alias("block")).agg(F.count("*").alias("n"))
+    # of a bounded size: MOST_BLOCKS rows of ``shards`` numbers
+    matrix = F.broadcast(stored(communication_matrix(counts, shards, seed)).toDF(block, upto))
+    place = F.row_number().over(W.partitionBy(block).orderBy(first, second))
     dealt = (
-        rows.withColumn("_place", place)
-        .join(matrix, "_block")
-        .withColumn("shard", F.size(F.filter("upto", lambda u: u < F.col("_place"))))
-        .withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), "_second"), F.lit(BUCKETS)).cast("int"))
-        .drop("_block", "_first", "_place", "upto")
+        rows.withColumn(place_, place)
+        .join(matrix, block)
+        .withColumn("shard", F.size(F.filter(upto, lambda u: u < F.col(place_))))
+        .withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), second), F.lit(buckets)).cast("int"))
+        .drop(block, first, place_, upto)
     )
     dealt = stored(dealt)
-    sizes = dealt.groupBy("shard", "_bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # of a fixed size: ``shards`` times BUCKETS rows
-    start = F.broadcast(sizes.select("shard", "_bucket", before.alias("_before")))
-    nth = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy("_second"))
-    return dealt.withColumn("_nth", nth).join(start, ["shard", "_bucket"]).withColumn("slot", F.col("_before") + F.col("_nth") - 1).select(*df.columns, "shard", "slot")
+    sizes = dealt.groupBy("shard", bucket).agg(F.count("*").alias(nth_))
+    before = F.coalesce(F.sum(nth_).over(W.partitionBy("shard").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # of a bounded size: ``shards`` times MOST_BLOCKS rows
+    start = F.broadcast(sizes.select("shard", bucket, before.alias(before_)))
+    nth = F.row_number().over(W.partitionBy("shard", bucket).orderBy(second))
+    placed = dealt.withColumn(nth_, nth).join(start, ["shard", bucket]).withColumn("slot", F.col(before_) + F.col(nth_) - 1)
+    return placed.select(*[F.col(f"`{c}`") for c in kept], "shard", "slot")
