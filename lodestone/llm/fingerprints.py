@@ -8,8 +8,15 @@ anchors that it doesn't touch. The digests of the chosen runs in the order of
 the text are the fingerprint; a text of under K tokens, or without a chosen
 run, has its whole sequence as its one anchor, an empty one has none.
 
-Null texts count as empty; equal texts have equal fingerprints. Likeness is
-the Jaccard coefficient of the anchors, 1 for two empty fingerprints.
+As anchors are free of context, what two texts have in common has its anchors
+in both, and in one order: likeness is the share of anchors that match at
+positions which agree with their neighbours'.
+
+Null texts count as empty; equal texts have equal fingerprints, and a very long
+text has all its anchors. Rows of one id, null ids among them, stand in the
+order of their texts' digests, and equal rows are interchangeable; a single row
+follows itself. An empty table gives an empty result. Other columns are never
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .base import unused
 from .sharding import let
 
 K, S = 12, 2
@@ -27,7 +35,9 @@ K, S = 12, 2
 _UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 TOKEN = rf"[{_UNSPACED}]|[^ \t-\r{_UNSPACED}]{{1,32}}"
 #: Rows that a bucket of neighbouring ids should hold.
-BUCKET_ROWS = 1500
+BUCKET_ROWS = 500
+#: Anchors by which a match may shift against its neighbour's.
+SHIFT = 4
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -61,44 +71,69 @@ def fingerprint(anchor: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Anchors that two fingerprints share at matching positions, of all their anchors; 1 for two empty ones.
+
+    A shared anchor's shift is its first position in one less that in the other.
+    It counts if the shared anchor before or after it has its shift too, or if it
+    has not moved, up to SHIFT anchors each: so what was moved as a whole counts,
+    and what is met here and there does not.
+    """
+
+    def matched(shifts: Column) -> Column:
+        def near(k: Column, other: Column) -> Column:
+            return F.coalesce(F.abs(F.get(shifts, k) - other) <= SHIFT, F.lit(False))
+
+        return F.size(F.filter(shifts, lambda d, k: (F.abs(d) <= SHIFT) | near(k - 1, d) | near(k + 1, d)))
+
+    shifts = F.transform(F.array_intersect(a, b), lambda x: F.array_position(a, x) - F.array_position(b, x))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(a == b, 1.0).otherwise(let(shifts, matched) / F.size(F.array_union(a, b)))
 
 
 def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` with ``next_<column>`` of the document that follows by descending id; the first follows the last.
 
-    Ids are cut into buckets by quantiles, and those evenly once more; each
-    bucket also gets the first row of the next bucket, so that no task sees
-    more than a bucket. ``derived`` columns are computed once for each row and
-    copy, and may be among ``columns``. Rows of one id stand in the order of their texts'
+    Ids are cut into parts by quantiles, and those evenly into buckets; an id
+    that fills a part is cut by its texts' digests. Each bucket also gets the
+    first row of the bucket that follows it, so that no task sees more than a
+    bucket. ``derived`` columns are computed once for each row and copy, and may
+    be among ``columns``. Rows of one id stand in the order of their texts'
     digests, null ids after all others.
     """
+    id_, digest_, part_, bucket_, copy_, nth_ = unused(docs, 6)
     low = -(1 << 63)
-    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(low)))
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.withColumns({id_: F.coalesce(F.col(id_col).cast("long"), F.lit(low)), digest_: digest})
     parts = 64
-    found = rows.agg(F.count("*").alias("n"), F.percentile_approx("_id", [i / parts for i in range(parts + 1)], 10_000).alias("q")).first()
-    bounds = sorted(set(found.q or [0]))
+    found = rows.agg(F.count("*").alias("n"), F.percentile_approx(id_, [i / parts for i in range(parts + 1)], 10_000).alias("q")).first()
+    edges = found.q or [0]
+    bounds = sorted(set(edges))
+    full = [b for b in bounds if edges.count(b) > 1]
     fine = max(1, math.ceil(found.n / bucket_rows / parts))
+    slices = fine * parts
     edge = F.array(*[F.lit(b) for b in bounds])
 
     def bucket(at: Column) -> Column:
+        """Numbers of buckets fall as the order goes on; an id that is cut has ``slices`` of them, and all above it stand before."""
         start, end = F.get(edge, at).cast("double"), F.get(edge, at + 1).cast("double")
-        inside = F.when(end > start, F.floor((F.col("_id") - start) / (end - start) * fine)).otherwise(F.lit(0))
-        return at * F.lit(fine).cast("long") + F.least(F.greatest(inside, F.lit(0)), F.lit(fine - 1))
-
-    rows = rows.withColumn("_bucket", let(F.greatest(F.size(F.filter(edge, lambda b: b <= F.col("_id"))) - 1, F.lit(0)), bucket))
-    # one row for each bucket: its highest id, and the bucket before it in descending order (for the highest: the lowest)
-    heads = rows.groupBy("_bucket").agg(F.max("_id").alias("_id"))
-    down = W.orderBy(F.col("_bucket").desc())
-    all_ = down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    heads = heads.select("_id", F.coalesce(F.lag("_bucket").over(down), F.min("_bucket").over(all_)).alias("_to"), (F.lag("_bucket").over(down).isNull()).alias("_wraps"))
-    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    copies = rows.join(F.broadcast(heads), "_id").withColumn("_nth", F.row_number().over(W.partitionBy("_to", "_wraps").orderBy(digest))).where("_nth = 1")
-    copies = copies.withColumn("_bucket", F.col("_to")).withColumn("_copy", F.when(F.col("_wraps"), 2).otherwise(1))
-    both = rows.withColumn("_copy", F.lit(0)).unionByName(copies.select(*rows.columns, "_copy"))
-    both = both.withColumns(derived or {})
-    order = W.partitionBy("_bucket").orderBy(F.col("_copy"), F.col("_id").desc(), digest)
-    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_copy = 0").drop("_id", "_bucket", "_copy")
+        inside = F.when(end > start, F.floor((F.col(id_) - start) / (end - start) * fine)).otherwise(F.lit(0))
+        even = at * F.lit(fine).cast("long") + F.least(F.greatest(inside, F.lit(0)), F.lit(fine - 1))
+        cut = F.least(F.floor((0.5 - F.col(digest_) / float(1 << 64)) * slices), F.lit(slices - 1))
+        return even * (slices + 1) + (F.when(F.col(id_).isin(full), F.greatest(cut, F.lit(0))).otherwise(F.lit(slices)) if full else slices)
+
+    part = F.greatest(F.size(F.filter(edge, lambda b: b <= F.col(id_))) - 1, F.lit(0))
+    rows = rows.withColumn(part_, part).withColumn(bucket_, let(F.col(part_), bucket))
+    order = [F.col(id_).desc(), F.col(digest_)]
+    # the first row of each bucket, for the one before it. Of each part, the lowest bucket takes the first row of the next part that has any
+    heads = rows.withColumn(nth_, F.row_number().over(W.partitionBy(bucket_).orderBy(*order))).where(F.col(nth_) == 1).drop(nth_)
+    lowest = {r[0]: r[1] for r in rows.groupBy(part_).agg(F.min(bucket_)).collect()}  # ``parts`` rows at most
+    above = [lowest[p] for p in sorted(lowest)]
+    after = F.array(*[F.lit(b).cast("long") for b in above]) if above else F.array().cast("array<long>")
+    within = F.lead(bucket_).over(W.partitionBy(part_).orderBy(bucket_))
+    to = F.coalesce(within, F.get(F.filter(after, lambda b: b > F.col(bucket_)), F.lit(0)))
+    heads = heads.withColumn(nth_, to).withColumn(copy_, F.when(F.col(nth_).isNull(), 2).otherwise(1)).withColumn(bucket_, F.coalesce(nth_, F.lit(above[0] if above else 0).cast("long"))).drop(nth_)
+    both = rows.withColumn(copy_, F.lit(0)).unionByName(heads).withColumns(derived or {})
+    down = W.partitionBy(bucket_).orderBy(copy_, *order)
+    return both.withColumns({f"next_{c}": F.lead(c).over(down) for c in columns}).where(F.col(copy_) == 0).drop(id_, digest_, part_, bucket_, copy_)
 
 
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

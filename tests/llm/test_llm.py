@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -168,6 +169,23 @@ def test_shards_are_exact_and_uniform(spark):
     assert again == {r.id: (r.shard, r.slot) for r in rows}
 
 
+def test_shards_of_the_query_and_of_clashing_columns(spark):
+    rows = texts()
+    got = queries.op3_sharding(spark, SF).collect()
+    assert {r.doc_id for r in got} == set(rows) and len(got) == len(rows)
+    for r in got:
+        own = rows[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(own) + 1, zlib.crc32(own), "rows", None)
+    of = Counter(r.shard for r in got)
+    assert set(of) == set(range(16)) and max(of.values()) - min(of.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(16) for i in range(of[s])]
+    names = ["id", "upto", "_block", "_c0", "_C1", "slot", "shard", "block", "n"]
+    odd = spark.createDataFrame([[i] * len(names) for i in range(50)], names)
+    dealt = sharding.shard_rows(odd, 4)
+    assert dealt.columns == ["id", "upto", "_block", "_c0", "_C1", "block", "n", "shard", "slot"]
+    assert sorted(r.id for r in dealt.collect()) == list(range(50)) and sorted(Counter(r.shard for r in dealt.collect()).values()) == [12, 12, 13, 13]
+
+
 def test_hypergeometric_draws(spark):
     import math
 
@@ -189,6 +207,42 @@ def test_quality_learns_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.collect())
 
 
+def test_quality_gradient_equals_differences():
+    r = np.random.default_rng(3)
+    d, hidden, gate = 5, 4, 3
+    shapes = {"E": (d, hidden), "e": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "a": (gate,), "c": (hidden,), "b": ()}
+    w = {k: r.normal(0, 0.7, s) for k, s in shapes.items()}
+    model = quality.Model(np.zeros(d), np.ones(d), w)
+    x, first, y = r.normal(size=(9, d)), np.array([0, 1, 5, 9]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p, _ = model.forward(x, first)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    got = quality.gradient(model, x, first, y)
+    for k, s in shapes.items():
+        for at in np.ndindex(s):
+            old = np.array(w[k])
+            ends = []
+            for step in (1e-6, -1e-6):
+                new = old.copy()
+                new[at] += step
+                w[k] = new
+                ends.append(loss())
+            w[k] = old
+            assert abs((ends[0] - ends[1]) / 2e-6 - np.asarray(got[k])[at]) < 1e-6
+
+
+def test_quality_takes_repeated_ids_and_awkward_tables(spark, awkward, empty, clashing):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)] + [(8, 1, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    for docs in (awkward, clashing):
+        model = quality.train(docs, labels)
+        again = quality.train(docs.repartition(3), labels)
+        assert all(np.array_equal(model.weights[k], again.weights[k]) for k in model.weights)
+        assert quality.keep_good(docs, model).columns == docs.columns
+    assert quality.train(empty, labels).constant == 0.5
+
+
 def test_quality_without_labels_of_both_kinds(spark, awkward):
     none = spark.createDataFrame([(4, None), (5, 1)], "doc_id long, quality int")
     assert {r.score for r in quality.score(awkward, quality.train(awkward, none)).collect()} == {1.0}
@@ -481,6 +535,38 @@ def test_mix_comes_near_its_targets(spark):
 # --- op9
 
 
+def positional(f, g):
+    """Likeness of two fingerprints, in plain steps."""
+    f, g = ([x[k : k + 8] for k in range(0, len(x), 8)] for x in (f, g))
+    if f == g:
+        return 1.0
+    shift = [f.index(x) - g.index(x) for x in dict.fromkeys(f) if x in g]
+    good = sum(any(abs(d - e) <= fingerprints.SHIFT for e in (0, *shift[max(0, k - 1) : k], *shift[k + 1 : k + 2])) for k, d in enumerate(shift))
+    return good / len(set(f) | set(g))
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 3, 500])
+def test_next_rows_whatever_the_buckets(spark, bucket_rows):
+    """One id, and null ids, on a third of the rows each; the order is by falling id, then by the texts' digests."""
+    r = random.Random(7)
+    rows = [(r.choice([None, 5, r.randrange(-40, 40)]), f"text {i}" if i % 9 else None, "x") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _c0 string")
+    digest = {x.text: x.d for x in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("d")).distinct().collect()}
+    order = sorted(rows, key=lambda x: (-(-(1 << 63) if x[0] is None else x[0]), digest[x[1]]))
+    want = Counter((a[0], a[1], b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    got = fingerprints.with_next(df, ["text"], bucket_rows=bucket_rows)
+    assert got.columns == ["doc_id", "text", "_c0", "next_text"]
+    assert Counter((x.doc_id, x.text, x.next_text) for x in got.collect()) == want
+
+
+def test_likeness_needs_positions_that_agree(spark):
+    a = list(range(40))
+    cases = {"same": (a, a, 1.0), "moved": (a, [*range(100, 120), *a], 40 / 60), "none": ([], [], 1.0), "empty": (a, [], 0.0), "scattered": (a, [x for i in range(4) for x in [*range(1000 + 50 * i, 1050 + 50 * i), 39 - 13 * i]], 0.0)}
+    df = spark.createDataFrame([(k, x, y) for k, (x, y, _) in cases.items()], "name string, a array<int>, b array<int>")
+    for x in df.select("name", fingerprints.likeness(F.col("a"), F.col("b")).alias("near")).collect():
+        assert abs(x.near - cases[x.name][2]) < 1e-12
+
+
 def test_edited_texts_and_neighbours(spark):
     rows = texts()
     order = sorted(rows, reverse=True)
@@ -491,9 +577,11 @@ def test_edited_texts_and_neighbours(spark):
         third = len(t) // 3
         edited = t[: len(t) - third] + rows[after[i]][:third]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        own, other = ({f[k : k + 8] for k in range(0, len(f), 8)} for f in (got[i].fingerprint, got[after[i]].fingerprint))
-        want = 1.0 if not own and not other else len(own & other) / len(own | other)
-        assert abs(got[i].near_next - want) < 1e-12
+        assert abs(got[i].near_next - positional(got[i].fingerprint, got[after[i]].fingerprint)) < 1e-12
+        assert abs(got[i].near_edited - positional(got[i].fingerprint, got[i].edited_fingerprint)) < 1e-12
+    edited = spark.createDataFrame([(i, t[: len(t) - len(t) // 3] + rows[after[i]][: len(t) // 3]) for i, t in rows.items()], "doc_id long, text string")
+    for r in edited.select("doc_id", fingerprints.fingerprint(fingerprints.anchors(F.col("text"))).alias("f")).collect():
+        assert got[r.doc_id].edited_fingerprint == r.f
     assert np.mean([r.near_edited for r in got.values()]) > 0.3 > np.mean([r.near_next for r in got.values()])
 
 
