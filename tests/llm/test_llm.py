@@ -616,7 +616,15 @@ def test_licences_in_other_spellings(spark):
         (1, "Copyright (c) 2020 Somebody\n\n" + licences.KNOWN[0][1].upper().replace(",", " ;")), (2, "RELEASED under the mit LICENCE"), (3, "Some prose.\nAll rights reserved.\nMore prose."),
         (4, licences.KNOWN[0][1] + " and more"), (5, None), (6, ""), (7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."),
     ]
+    whole = dict(licences.KNOWN[k] for k in range(len(licences.KNOWN)) if len(licences.KNOWN[k][1]) > 300)
+    for k, (name, text) in enumerate(sorted(whole.items())):
+        words = text.split(" ")  # set in short lines, as files have it
+        wrapped = "\n".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+        for j, head in enumerate(["Copyright Jane Doe", "Copyright (c) Jane Doe and others", "(c) 1999, 2003 J. Doe", "  © The Authors", ""]):
+            rows.append((1000 + 10 * k + j, f"{head}\n\n{wrapped}"))
     got = {r.doc_id: (r.licence, r.notices, r.n_notices) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in enumerate(sorted(whole)):
+        assert [got[1000 + 10 * k + j][0] for j in range(5)] == [name] * 5
     assert got[1][0] == "MIT" and got[2] == ("MIT", "MIT", 1) and got[3] == (None, "all-rights-reserved", 1)
     assert got[4][0] is None and got[5] == got[6] == (None, "", 0) and got[7] == (None, "CC-BY-NC-4.0,MIT", 2)
 
@@ -627,7 +635,7 @@ def test_licences_in_other_spellings(spark):
 OPERATORS = {
     "bpe": lambda d: bpe.encode_documents(d, VOCABULARY),
     "ngram_join": lambda d: ngram_join.join_ngrams(d),
-    "shard_rows": lambda d: sharding.shard_rows(d.select("doc_id", "text"), 16),
+    "shard_rows": lambda d: sharding.shard_rows(d, 16),
     "quality": lambda d: quality.score(d, quality.Model(np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES), {}, 0.5)),
     "keep_good": lambda d: quality.keep_good(d, quality.Model(np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES), {}, 1.0)),
     "pii": lambda d: pii.find_personal(d),
