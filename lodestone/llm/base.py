@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import logging
 import tempfile
 import uuid
@@ -84,6 +85,14 @@ def clean(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, where the C library can; workers live longer than tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def unused(df: DataFrame, n: int) -> list[str]:
     """Names that none of the columns of ``df`` has, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import clean
+from .base import clean, give_back
 
 #: Runs of characters remembered by one worker (twice as many for a while).
 REMEMBERED = 1 << 16
@@ -307,6 +307,7 @@ def encode_documents(
         finally:  # the worker goes on with other tasks
             if on:
                 gc.enable()
+            give_back()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(spec.value)

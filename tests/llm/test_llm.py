@@ -144,7 +144,9 @@ def test_ngram_join_in_a_large_group_of_near_copies(spark, monkeypatch):
         assert got == want
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 150), (150, 120)]
     got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = components_of(links, {n for link in links for n in link})
