@@ -26,7 +26,7 @@ def by_extension(files: DataFrame, name_col: str, class_col: str, size_col: str,
 def extension(name: Column) -> Column:
     """Lower-cased extension: "" for none, ? for irregular or long ones, # for digits only."""
     found = F.lower(F.substring_index(name, ".", -1))
-    dotted = F.substring(name, 2, 100_000).contains(".")
+    dotted = F.locate(".", name, 2) > 0
     return F.when(~dotted, "").when(found.rlike("^[0-9]+$"), "#").when(found.rlike("^[a-z0-9_]{1,10}$"), found).otherwise("?")
 
 
@@ -73,13 +73,16 @@ def sampled_hash(content: Column) -> Column:
 
 
 def duplicate_cascade(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """How many files are left as candidates after size, sampled digest and full digest; the digests are only taken of those left."""
+    """How many files are left as candidates after size, sampled digest and full digest; each digest is only taken of those left before."""
     sized = files.select(F.col(id_col).alias("id"), F.octet_length(content_col).alias("size"), F.col(content_col).cast("binary").alias("content"))
-    # narrow aggregates first; the content is only joined where sizes repeat
+    # narrow aggregates first; the content is only joined where sizes, then samples repeat
     repeated = sized.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
-    left = sized.join(repeated, "size").select("id", "size", sampled_hash(F.col("content")).alias("sampled"), F.sha2("content", 256).alias("full"))
-    counts = left.withColumn("same", F.count("*").over(W.partitionBy("size", "sampled"))).withColumn("equal", F.count("*").over(W.partitionBy("size", "full")))
-    return counts.agg(F.count("*").alias("by_size"), F.count_if(F.col("same") > 1).alias("by_sample"), F.count_if(F.col("equal") > 1).alias("by_content"))
+    left = sized.join(repeated, "size").withColumn("sampled", sampled_hash(F.col("content")))
+    again = left.groupBy("size", "sampled").agg(F.count("*").alias("n"))
+    alike = left.join(again.where("n > 1").select("size", "sampled"), ["size", "sampled"]).groupBy("size", F.sha2("content", 256).alias("full")).agg(F.count("*").alias("n"))
+    by_sample = again.agg(F.sum("n").alias("by_size"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("by_sample"))
+    # one row each
+    return by_sample.withColumn("by_size", F.coalesce("by_size", F.lit(0))).crossJoin(F.broadcast(alike.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("by_content"))))
 
 
 def fixed_chunks(files: DataFrame, id_col: str, content_col: str, size: int) -> DataFrame:
@@ -124,22 +127,76 @@ def changed_pairs(old: DataFrame, new: DataFrame, path: str, digest: str) -> Dat
     return new.join(before, path).where(F.col(digest) != F.col("old_digest"))
 
 
+#: Words that announce a version number, and words that mark a copy.
+VERSION_WORDS = ["v", "ver", "version", "rev", "r"]
+COPY_WORDS = ["copy", "copia", "bak", "backup", "old", "final", "novo", "new"]
+#: A run of letters, digits or separators, or any other character.
+NAME_TOKEN = "[a-z]+|[0-9]+|[-_. :]+|[^a-z0-9]"
+
+
+#: When a token says nothing but which version it is: kinds of its neighbours, by distance. Kinds are n for numbers, s separators,
+#: v version words, c copy words, t the letter between date and time, w other words, ( and ), and ? for anything else.
+DROPPED = [
+    # numbers with separators between them, dates and times are one number
+    {-2: "n", -1: "st", 0: "n"}, {-1: "n", 0: "st", 1: "n"},
+    # v2, rev-3
+    {0: "v", 1: "n"}, {0: "v", 1: "s", 2: "n"}, {-1: "v", 0: "s", 1: "n"},
+    # -copy, _final
+    {0: "s", 1: "c"}, {-1: "s", 0: "c"},
+    # (2)
+    {0: "s", 1: "(", 2: "n", 3: ")"}, {0: "(", 1: "n", 2: ")"}, {-1: "(", 0: "n", 1: ")"}, {-2: "(", -1: "n", 0: ")"},
+]
+
+
 def normalized(name: Column) -> Column:
-    """A path without what tells versions apart: dates, version numbers, copy marks and digits."""
-    out = F.lower(name)
-    for pattern, new in (
-        (r"\d{4}[-_.]?\d{2}[-_.]?\d{2}([t_ -]?\d{2}[:_.-]?\d{2}([:_.-]?\d{2})?)?", "#"),
-        (r"(^|[^a-z0-9])(v|ver|version|rev|r)?[-_. ]?\d+(\.\d+)+", "$1#"),
-        (r"[-_. ]*\(\d+\)|[-_. ]+(copy|copia|bak|backup|old|final|novo|new)\b", ""),
-        (r"(^|[^a-z0-9])(v|ver|rev|r)\d+($|[^a-z0-9])", "$1#$3"),
-        (r"\d+", "#"),
-        (r"#([-_. ]*#)+", "#"),
-    ):
-        out = F.regexp_replace(out, pattern, new)
-    return out
+    """A path without what tells versions apart: numbers, dates and times become one #, version words and copy marks go.
+
+    The lower-cased name is cut into tokens, and each token kept or dropped by
+    the kinds of its neighbours.
+    """
+
+    def kind(x: Column) -> Column:
+        out = F.when(x.rlike("^[0-9]+$"), "n").when(x.rlike("^[-_. :]+$"), "s").when(x.isin(VERSION_WORDS), "v").when(x.isin(COPY_WORDS), "c")
+        return out.when(x.isin("t", "(", ")"), x).when(x.rlike("^[a-z]+$"), "w").otherwise("?")
+
+    def kept(z: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            drop = F.lit(False)
+            for rule in DROPPED:
+                fits = F.lit(True)
+                for away, kinds in rule.items():
+                    fits = fits & F.coalesce(F.get(z["k"], i + away), F.lit("-")).isin(*kinds)
+                drop = drop | fits
+            return F.when(drop, "").when(F.get(z["k"], i) == "n", "#").otherwise(x)
+
+        return F.array_join(F.transform(z["t"], one), "")
+
+    tokens = F.regexp_extract_all(F.lower(name), F.lit(NAME_TOKEN), F.lit(0))
+    return F.get(F.transform(F.array(F.struct(tokens.alias("t"), F.transform(tokens, kind).alias("k"))), kept), F.lit(0))
+
+
+def natural_key(name: Column) -> Column:
+    """Sort key in which runs of digits count as numbers: for each run of other characters, it and the number after it."""
+    parts = F.regexp_extract_all(name, F.lit("[^0-9]*[0-9]*"), F.lit(0))
+    number = lambda p: F.regexp_replace(F.regexp_extract(p, "[0-9]*$", 0), "^0+(?=[0-9])", "")
+    # a longer number is larger, whatever its size
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, "^[^0-9]*", 0).alias("text"), F.length(number(p)).alias("digits"), number(p).alias("number")))
+
+
+def family_keys(path: Column) -> list[Column]:
+    """Keys of three passes: equal names in folders that differ by version; names that differ by version in one folder; both may differ."""
+    folder = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    dotted = name.rlike(r"^.+\.[^.]*$")
+    stem, ending = F.when(dotted, F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name), F.when(dotted, F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))).otherwise("")
+
+    def key(kind: str, *parts: Column) -> Column:
+        return F.concat_ws("\x1f", F.lit(kind), *parts)
+
+    return [key("A", normalized(folder), F.lower(name)), key("B", folder, normalized(stem), ending), key("C", normalized(folder), normalized(stem), ending)]
 
 
-def family_chains(files: DataFrame, key: Column, order_col: str, size_col: str, tolerance: float = 0.5) -> DataFrame:
+def family_chains(files: DataFrame, key: Column, order_col: str | Column, size_col: str, tolerance: float = 0.5) -> DataFrame:
     """Chains of at least two versions: files of a key in order, cut where neighbours' sizes differ too much."""
     w = W.partitionBy("family").orderBy(order_col)
     rows = files.where(F.col(size_col) > 0).withColumn("family", key).withColumn("_last", F.lag(size_col).over(w))
@@ -150,7 +207,7 @@ def family_chains(files: DataFrame, key: Column, order_col: str, size_col: str,
     return rows.withColumn("versions", n).where("versions > 1").drop("_last")
 
 
-def families_greedy(files: DataFrame, keys: list[Column], id_col: str, order_col: str, size_col: str, tolerance: float = 0.5) -> DataFrame:
+def families_greedy(files: DataFrame, keys: list[Column], id_col: str, order_col: str | Column, size_col: str, tolerance: float = 0.5) -> DataFrame:
     """Passes over several keys; a file that is in a chain of one pass takes no part in later ones."""
     free, out = files, None
     for i, key in enumerate(keys):

@@ -1,9 +1,7 @@
-"""Queries over the driver's tables, each with its SQL where SQL can say it."""
+"""Queries over the driver's tables, each with its SQL where SQL can say it. ``more`` adds the smaller ones."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,20 +16,7 @@ from ..sources import tables as src
 from ..sources.tables import GRANTS_SQL, IN_WINDOW_SQL, LEDGER_SQL, OBJECTS_SQL
 from ..streaming import watch
 from . import planner
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from .registry import QUERIES, SQL, query
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,12 +217,21 @@ def version_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.version_categories(old.select("path", "digest"), new, "path", "digest", "size")
 
 
-_NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url),
-  '\d{4}[-_.]?\d{2}[-_.]?\d{2}([t_ -]?\d{2}[:_.-]?\d{2}([:_.-]?\d{2})?)?', '#', 'g'), '(^|[^a-z0-9])(v|ver|version|rev|r)?[-_. ]?\d+(\.\d+)+', '\1#', 'g'),
-  '[-_. ]*\(\d+\)|[-_. ]+(copy|copia|bak|backup|old|final|novo|new)\b', '', 'g'), '(^|[^a-z0-9])(v|ver|rev|r)\d+($|[^a-z0-9])', '\1#\3', 'g'), '\d+', '#', 'g'), '#([-_. ]*#)+', '#', 'g')"""
+def _words(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
 
+def _near(away: int, kinds: str) -> str:
+    return f"coalesce(CASE WHEN i + ({away}) >= 1 THEN k[i + ({away})] END, '-') IN ({_words(list(kinds))})"
 
-@query(f"""WITH f AS (SELECT page_id, {_NORM} AS family, strlen(html) AS size FROM pages WHERE strlen(html) > 0),
+
+#: The SQL of ``inventory.normalized``: tokens, their kinds, and what is left of them.
+_NORM_SQL = f"""k AS (SELECT *, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN 'n' WHEN regexp_matches(x, '^[-_. :]+$') THEN 's' WHEN x IN ({_words(inv.VERSION_WORDS)}) THEN 'v' WHEN x IN ({_words(inv.COPY_WORDS)}) THEN 'c'
+      WHEN x IN ('t', '(', ')') THEN x WHEN regexp_matches(x, '^[a-z]+$') THEN 'w' ELSE '?' END) AS k FROM (SELECT *, regexp_extract_all(lower(url), '{inv.NAME_TOKEN}') AS t FROM pages)),
+  norm AS (SELECT page_id, html, array_to_string(list_transform(t, lambda x, i: CASE WHEN {" OR ".join("(" + " AND ".join(_near(d, c) for d, c in rule.items()) + ")" for rule in inv.DROPPED)} THEN '' WHEN k[i] = 'n' THEN '#' ELSE x END), '') AS family FROM k)"""
+
+
+@query(f"""WITH {_NORM_SQL}, f AS (SELECT page_id, family, strlen(html) AS size FROM norm WHERE strlen(html) > 0),
   l AS (SELECT *, lag(size) OVER (PARTITION BY family ORDER BY page_id) AS last FROM f),
   c AS (SELECT *, sum(CASE WHEN last IS NULL OR greatest(size, last) > 1.5 * least(size, last) THEN 1 ELSE 0 END) OVER (PARTITION BY family ORDER BY page_id) AS chain FROM l),
   n AS (SELECT page_id, family, chain::BIGINT AS chain, row_number() OVER (PARTITION BY family, chain ORDER BY page_id) AS position, count(*) OVER (PARTITION BY family, chain) AS versions FROM c) SELECT * FROM n WHERE versions > 1""")
@@ -310,17 +304,17 @@ def mime_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT l_orderkey, concat_ws(CASE WHEN l_orderkey % 2 = 0 THEN ',' ELSE ';' END, l_partkey, l_suppkey, l_linenumber, l_returnflag) || CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 1 THEN ',;' ELSE '' END AS line FROM lineitem),
-  t AS (SELECT l_orderkey, string_agg(line, chr(10) ORDER BY line) || chr(10) AS text, count(*) AS n, count(DISTINCT len(line) - len(replace(line, ',', ''))) AS commas, count(DISTINCT len(line) - len(replace(line, ';', ''))) AS semis,
-    min(len(line) - len(replace(line, ',', ''))) AS c, min(len(line) - len(replace(line, ';', ''))) AS s FROM r GROUP BY 1)
-  SELECT l_orderkey, CASE WHEN strlen(text) < 64 OR n < 4 THEN NULL WHEN commas = 1 AND c > 0 AND NOT (semis = 1 AND s > c) THEN ',' WHEN semis = 1 AND s > 0 THEN ';' END AS delimiter,
-    CASE WHEN strlen(text) < 64 OR n < 4 THEN NULL WHEN commas = 1 AND c > 0 AND NOT (semis = 1 AND s > c) THEN c + 1 WHEN semis = 1 AND s > 0 THEN s + 1 END AS columns
-  FROM t WHERE n <= 32""")
+  c AS (SELECT l_orderkey, strlen(line) + 1 AS size, len(line) - len(replace(line, ',', '')) AS c, len(line) - len(replace(line, ';', '')) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY line) AS nth FROM r),
+  t AS (SELECT l_orderkey, sum(size) AS size, count(*) AS n, min(c) AS c0, max(c) AS c1, min(s) AS s0, max(s) AS s1, min(c) FILTER (nth <= 32) AS hc0, max(c) FILTER (nth <= 32) AS hc1, min(s) FILTER (nth <= 32) AS hs0, max(s) FILTER (nth <= 32) AS hs1 FROM c GROUP BY 1),
+  d AS (SELECT *, CASE WHEN hc0 = hc1 AND hc0 > 0 AND NOT (hs0 = hs1 AND hs0 > hc0) THEN ',' WHEN hs0 = hs1 AND hs0 > 0 THEN ';' END AS d FROM t)
+  SELECT l_orderkey, CASE WHEN size >= 64 AND n >= 4 AND (d = ',' AND c0 = c1 OR d = ';' AND s0 = s1) THEN d END AS delimiter,
+    CASE WHEN size >= 64 AND n >= 4 AND d = ',' AND c0 = c1 THEN c0 + 1 WHEN size >= 64 AND n >= 4 AND d = ';' AND s0 = s1 THEN s0 + 1 END AS columns FROM d""")
 def csv_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's line items written as a table; in some orders a row is longer."""
     rows = src.load(spark, sf_dir, "lineitem")
     mark = F.when(F.col("l_orderkey") % 2 == 0, ",").otherwise(";")
     line = F.concat(F.col("l_partkey").cast("string"), mark, F.col("l_suppkey").cast("string"), mark, F.col("l_linenumber").cast("string"), mark, F.col("l_returnflag"), F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 1), ",;").otherwise(""))
-    texts = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines")).where(F.size("lines") <= 32)
+    texts = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     found = content.detect_csv(F.col("text"))
     return texts.select("l_orderkey", F.concat(F.array_join("lines", "\n"), F.lit("\n")).alias("text")).select("l_orderkey", found.alias("t")).select("l_orderkey", "t.delimiter", F.col("t.columns").cast("long").alias("columns"))
 
@@ -601,3 +595,6 @@ def event_windows_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.load(spark, sf_dir, "events").withColumn("ms", src.epoch_ms(F.col("ts")))
     hour = (F.floor(F.col("ms") / 3_600_000) * 3600).cast("long")
     return rows.groupBy(hour.alias("start_s"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+
+
+from . import more  # noqa: E402, F401
