@@ -304,9 +304,10 @@ def encode_documents(
         gc.disable()  # the remembered runs hold no cycles, and scanning them over and over is costly
         try:
             yield from encoded(batches)
-        finally:  # the worker goes on with other tasks
+        finally:  # the worker goes on with other tasks, and has other things to hold
             if on:
                 gc.enable()
+            _made.clear()
             give_back()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

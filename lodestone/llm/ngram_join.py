@@ -201,31 +201,18 @@ def _may_reach(shared: Column, n_a: Column, n_b: Column, least: tuple[int, int])
     return (shared + rest) * sum(least) >= least[0] * (n_a + n_b)
 
 
-def _places_allow(least: tuple[int, int]) -> Column:
-    """Whether two documents can share enough if the n-gram at these places is the first that they share.
-
-    All that they share then stands from here on in both. A pair that links
-    passes at its first one, so the rows of later ones need not be made.
-    """
-    n_a, n_b, at_a, at_b = (F.col(c) for c in ("n_a", "n_b", "at_a", "at_b"))
-    return sum(least) * F.least(n_a - at_a, n_b - at_b) >= least[0] * (n_a + n_b)
-
-
-def _may_be_first() -> Column:
-    """Whether an n-gram may be the first that two documents share: not if the one before it is the same in both lists."""
-    return F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
-
-
-def _rest_allows(least: tuple[int, int]) -> Column:
-    """Whether what else stands in the lists is enough, if an n-gram is the first that two documents share.
-
-    ``left`` counts a document's listed n-grams from this one on. Of the two,
-    the one whose kept n-grams end first in the order shares no others of them,
-    and at most all that it didn't keep.
+def _may_be_first(least: tuple[int, int]) -> Column:
+    """Whether an n-gram may be the first that two documents share, if they link.
+
+    The one before it must not be the same in both lists. All that they share
+    then stands from here on in both (``behind``). Of the two, the one whose kept
+    n-grams end first in the order shares no others of them than those listed
+    from here on, and at most all that it didn't keep (``reach``). So the rows of
+    later shared n-grams need not be made.
     """
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    most = F.greatest(*[F.col(f"left_{s}") + n - _kept(n, least) for s, n in (("a", n_a), ("b", n_b))])
-    return sum(least) * most >= least[0] * (n_a + n_b)
+    needed = least[0] * (F.col("n_a") + F.col("n_b"))
+    after = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
+    return after & (sum(least) * F.least("behind_a", "behind_b") >= needed) & (sum(least) * F.greatest("reach_a", "reach_b") >= needed)
 
 
 def _sketches_allow(least: tuple[int, int]) -> Column:
@@ -354,13 +341,15 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     # the product, between different components; of a pair, a is the smaller
     parts = entries.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     parts = beside(parts, low=F.min("part"), high=F.max("part")).where("low != high").drop("low", "high")
+    # all that the condition needs is put in columns, so that its code stays small
+    n = F.col("n").cast("long")
+    parts = parts.select("gram", "id", n.alias("n"), "before", F.col("most").cast("long").alias("most"), "covers", "part", (n - F.col("at")).alias("behind"), (F.col("left") + n - kept).cast("long").alias("reach"), (F.col("at") < _kept_as_smaller(n, least)).alias("early"))
     parts = stored(parts.join(classes.select("id", *sketch), "id"))
     discard(found)
-    carried = ["id", "n", "at", "left", "before", "most", "covers", "part", *sketch]
-    left, right = (parts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in carried]) for s in "ab")
-    left = left.where(F.col("at_a") < _kept_as_smaller(F.col("n_a"), least))
-    smaller = F.struct("n_a", "most_a", "id_a") < F.struct("n_b", "most_b", "id_b")
-    allowed = smaller & (F.col("part_a") != F.col("part_b")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least) & _may_be_first() & _places_allow(least) & _rest_allows(least) & _sketches_allow(least)
+    carried = ["id", "n", "behind", "reach", "before", "most", "covers", "part", *sketch]
+    left, right = (df.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in carried]) for s, df in (("a", parts.where("early")), ("b", parts)))
+    smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b"))
+    allowed = smaller & (F.col("part_a") != F.col("part_b")) & _sized(F.col("n_a"), F.col("n_b"), least) & _may_share("a", "b", least) & _may_be_first(least) & _sketches_allow(least)
     pairs = stored(left.join(right, "gram").where(allowed).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     discard(parts)
     # how many of their kept n-grams the pairs share; a document's are few, so they travel instead of its set

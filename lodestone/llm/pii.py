@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import clean, in_small_batches
+from .base import clean, give_back, in_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -446,6 +446,8 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
                 more = added_spans(plain, base, sent.value)
                 new = [None if t is None else redact(t, b + m) if b or m else t for t, b, m in zip(texts, base, more)]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+        sent.value._forget()
+        give_back()
 
     out = docs.mapInArrow(run, docs.schema)
     if length_col and length_col in docs.columns:
