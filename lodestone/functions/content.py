@@ -165,20 +165,39 @@ def transform_entropy(a: np.ndarray) -> float:
     return best
 
 
-_STATS = ["entropy", "printable", "markers", "rate1", "rate2", "rate4", "rate8", "transform_entropy"]
-PROFILE = T.StructType([T.StructField(n, T.DoubleType()) for n in _STATS] + [T.StructField("stride", T.IntegerType())])
-
-
-@F.pandas_udf(PROFILE)
-def profile(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Byte statistics of binary contents; markers from the first 64 KiB, all else from the middle."""
-    for series in contents:
-        rows = []
-        for data in series:
-            a = sample_of(data or b"")
-            head = np.frombuffer(data or b"", np.uint8)[: 64 * 1024]
-            rows.append((entropy(a), float(_PRINTABLE[a].mean()) if len(a) else 0.0, float(_MARKERS[head].mean()) if len(head) else 0.0, *(match_rate(a[: 256 * 1024], k) for k in (1, 2, 4, 8)), transform_entropy(a[:65536]), stride(a)))
-        yield pd.DataFrame(rows, columns=PROFILE.names).astype({"stride": "Int32"})
+def _statistics(data: bytes, wanted: frozenset[str]) -> list[float | int | None]:
+    """The wanted statistics in the order of ``_STATS``: markers from the first 64 KiB, matches and stride from 256 KiB, all else from the middle."""
+    a, head = sample_of(data), np.frombuffer(data, np.uint8)[: 64 * 1024]
+    make = {
+        "entropy": lambda: entropy(a),
+        "printable": lambda: float(_PRINTABLE[a].mean()) if len(a) else 0.0,
+        "markers": lambda: float(_MARKERS[head].mean()) if len(head) else 0.0,
+        **{f"rate{k}": (lambda k=k: match_rate(a[: 256 * 1024], k)) for k in (1, 2, 4, 8)},
+        "transform_entropy": lambda: transform_entropy(a[:65536]),
+        "stride": lambda: stride(a),
+    }
+    return [make[name]() for name in _STATS if name in wanted]
+
+
+_STATS = ["entropy", "printable", "markers", "rate1", "rate2", "rate4", "rate8", "transform_entropy", "stride"]
+
+
+def measured(*stats: str):
+    """A column function: a struct of these byte statistics of binary contents, and no others."""
+    names = [n for n in _STATS if n in stats]
+    schema = T.StructType([T.StructField(n, T.IntegerType() if n == "stride" else T.DoubleType()) for n in names])
+
+    @F.pandas_udf(schema)
+    def made(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in contents:
+            rows = [_statistics(data or b"", frozenset(names)) for data in series]
+            frame = pd.DataFrame(rows, columns=names)
+            yield frame.astype({"stride": "Int32"}) if "stride" in names else frame
+
+    return made
+
+
+profile = measured(*_STATS)
 
 
 def content_class(content: Column, text: Column, mime: Column, stats: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chunking, codecs, transforms
@@ -39,8 +41,8 @@ def transform_round_trips(df: DataFrame, id_col: str, content_col: str) -> DataF
 
 
 def codec_round_trips(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """For each content and codec of the catalog at its default level (brotli and xz lower): size, and whether it decodes."""
-    levels = {c[0]: c[3] for c in codecs.CATALOG} | {"brotli": 5, "xz": 3}
+    """For each content and codec of the catalog at its default level: size, and whether it decodes."""
+    levels = {c[0]: c[3] for c in codecs.CATALOG}
 
     def make(key: int, data: bytes) -> list[tuple]:
         out = []
@@ -63,8 +65,6 @@ def probe_blocks(blocks: DataFrame) -> DataFrame:
 
 def cdc_chunks(df: DataFrame, id_col: str, content_col: str, target: int = 8192) -> DataFrame:
     """Content-defined chunks: id, offset, length, digest."""
-    import hashlib
-
     def make(key: int, data: bytes) -> list[tuple]:
         data = bytes(data)
         return [(key, a, n, hashlib.sha256(data[a : a + n]).hexdigest()) for a, n in chunking.cdc(data, target)]
@@ -141,3 +141,64 @@ def block_table(files: DataFrame) -> DataFrame:
         return [(key, b.index, b.offset, b.stored_len, b.original_len, b.plan, None) for b in blocks]
 
     return _per_row(files, ["id", "packed"], "id long, block int, offset long, stored_len long, original_len long, plan string, error string", make)
+
+
+def packed(df: DataFrame, id_col: str, content_col: str, codec: str, level: int) -> DataFrame:
+    """Each content by one codec: id, size, packed."""
+
+    def make(key: int, data: bytes) -> list[tuple]:
+        return [(key, len(data), codecs.encode(bytes(data), codec, level))]
+
+    return _per_row(df, [F.col(id_col), F.col(content_col).cast("binary")], "id long, size long, packed binary", make)
+
+
+def trained_dictionaries(df: DataFrame, class_col: str, content_col: str, order_col: str, most: int = 8 << 20) -> DataFrame:
+    """A dictionary for each class with samples enough: class, id (class and digest), content.
+
+    A class's samples are its first ones by a digest of their place, each 64 KiB
+    at most, up to ``most`` bytes together, so a task holds no more than those.
+    """
+    size = F.least(F.octet_length("content"), F.lit(64 * 1024)).cast("long")
+    rows = df.select(F.col(class_col).alias("class"), F.xxhash64(order_col).alias("at"), F.substring(F.col(content_col).cast("binary"), 1, 64 * 1024).alias("content")).withColumn("size", size)
+    # how far the digests reach that fill the room, from counts of 1,024 parts of their range
+    part = F.shiftrightunsigned("at", 54)
+    upto = F.sum("bytes").over(W.partitionBy("class").orderBy("part"))
+    parts = rows.groupBy("class", part.alias("part")).agg(F.sum("size").alias("bytes")).withColumn("upto", upto).where((F.col("upto") - F.col("bytes")) < most).groupBy("class").agg(F.max("part").alias("last"))
+    rows = rows.join(F.broadcast(parts), "class").where(part <= F.col("last"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["at"])
+        frame = frame[frame["size"].cumsum() <= most]
+        made = codecs.train_dictionary([bytes(x) for x in frame["content"]])
+        name = frame["class"].iloc[0] if len(frame) else ""
+        return pd.DataFrame([(name, f"{name}.{hashlib.sha256(made).hexdigest()[:16]}", made)] if made else [], columns=["class", "id", "content"])
+
+    return rows.groupBy("class").applyInPandas(run, "class string, id string, content binary")
+
+
+def resolved(dictionaries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The dictionaries with the ids ``wanted`` (class, id) whose content has the digest that the id names."""
+    sound = F.substring(F.sha2("content", 256), 1, 16) == F.element_at(F.split("id", "[.]"), -1)
+    return dictionaries.where(sound).join(F.broadcast(wanted.select("id")), "id").select("class", "id", "content")
+
+
+def dictionary_round_trips(df: DataFrame, id_col: str, class_col: str, content_col: str, known: dict[str, bytes], level: int = 3) -> DataFrame:
+    """Each content packed with its class's dictionary and opened again: id, class, size, alone, packed, ok."""
+
+    def make(key: int, klass: str, data: bytes) -> list[tuple]:
+        data, held = bytes(data), known[klass]
+        made = codecs.encode(data, "zstd", level, held)
+        return [(key, klass, len(data), len(codecs.encode(data, "zstd", level)), len(made), codecs.decode(made, "zstd", len(data), held, len(data)) == data)]
+
+    return _per_row(df, [F.col(id_col), F.col(class_col), F.col(content_col).cast("binary")], "id long, class string, size long, alone long, packed long, ok boolean", make)
+
+
+def sealed(df: DataFrame, id_col: str, content_col: str, label: str) -> DataFrame:
+    """Each content in an envelope, opened again: id, envelope, restored."""
+
+    def make(key: int, data: bytes) -> list[tuple]:
+        data = bytes(data)
+        made = container.seal(data, label)
+        return [(key, made, container.unseal(made) == data)]
+
+    return _per_row(df, [F.col(id_col), F.col(content_col).cast("binary")], "id long, envelope binary, restored boolean", make)

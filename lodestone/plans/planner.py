@@ -86,43 +86,114 @@ def restore(payload: bytes, label: str, done: list[tuple[str, int, int]], length
     return transforms.invert(codecs.decode(payload, codec, before, dictionary if with_dictionary else b"", before), done)
 
 
-def _measured(data: bytes, label: str, verify: bool) -> tuple[int | None, str | None]:
+def _measured(data: bytes, label: str, verify: bool, delimiter: bytes = b",", dictionary: bytes = b"") -> tuple[int | None, str | None]:
     try:
-        steps, codec, level, _ = parsed(label)
-        made, done = transforms.apply(data, steps, b",")
-        payload = codecs.encode(made, codec, level)
-        if verify and restore(payload, label, done, len(data), before=len(made)) != data:
+        payload, done, before = _packed(data, label, delimiter, dictionary)
+        if verify and restore(payload, label, done, len(data), dictionary, before) != data:
             return None, "not restored"
         return len(payload), None
     except ValueError as e:
         return None, type(e).__name__
 
 
-def measure(objects: DataFrame, content_col: str, effort: str, class_col: str, id_cols: list[str], verify: bool = True) -> DataFrame:
-    """One row for each object and candidate: id columns, idx, label, size, original, error.
+def _packed(data: bytes, label: str, delimiter: bytes, dictionary: bytes) -> tuple[bytes, list[tuple[str, int, int]], int]:
+    steps, codec, level, with_dictionary = parsed(label)
+    made, done = transforms.apply(data, steps, delimiter)
+    return codecs.encode(made, codec, level, dictionary if with_dictionary else b""), done, len(made)
+
+
+def middle(data: bytes, above: int = SAMPLE_ABOVE, size: int = SAMPLE) -> bytes:
+    """What is measured of a content: all of it, or of a long one its middle, from a multiple of 8 on."""
+    start = (len(data) - size) // 2 // 8 * 8
+    return data if len(data) <= above else data[start : start + size]
+
+
+#: Columns that a profile may give beside the content, and what holds without them.
+PROFILE = {"stride": "int", "entropy": "double", "delimiter": "string"}
+
+
+def _rows(objects: DataFrame, content_col: str, class_col: str, id_cols: list[str], profile: dict[str, str]) -> DataFrame:
+    given = [F.col(profile[k]).cast(t).alias(f"_{k}") if k in profile else F.lit(None).cast(t).alias(f"_{k}") for k, t in PROFILE.items()]
+    return objects.select(*[F.col(c) for c in id_cols], F.col(class_col).alias("_class"), *given, F.col(content_col).cast("binary").alias("_content"))
+
+
+def _plans_of(row: tuple, effort: str, dictionaries: dict[str, bytes]) -> tuple[list[str], bytes, bytes, bytes]:
+    """(labels, content, delimiter, dictionary) of a row of ``_rows``."""
+    klass, stride, entropy, delimiter, data = row[-5:]
+    data = bytes(data or b"")
+    dictionary = dictionaries.get(klass, b"")
+    stride = int(stride) if stride is not None and stride == stride else None
+    entropy = float(entropy) if entropy is not None and entropy == entropy else 8.0
+    labels = candidates(klass, effort, stride, entropy, bool(dictionary)) if data and klass in PLANS else ["stored"]
+    return labels, data, (delimiter or ",").encode(), dictionary
+
+
+def measure(
+    objects: DataFrame, content_col: str, effort: str, class_col: str, id_cols: list[str], verify: bool = True,
+    *, profile: dict[str, str] | None = None, dictionaries: dict[str, bytes] | None = None, above: int = SAMPLE_ABOVE, sample: int = SAMPLE,
+) -> DataFrame:
+    """One row for each object and candidate: id columns, idx, label, size, measured, original, error.
 
     All candidates of an object are measured in the task that holds it, so the
-    content isn't copied for each; contents over 48 MiB by their middle 8 MiB.
+    content isn't copied for each; contents over ``above`` bytes by their middle
+    ``sample`` bytes: ``size`` is what becomes of ``measured`` bytes. ``profile``
+    names the columns with a content's stride, entropy and delimiter.
     """
-    plans = {c: candidates(c, effort) for c in PLANS}
-    columns = [F.col(c) for c in id_cols] + [F.col(class_col).alias("_class"), F.col(content_col).cast("binary").alias("_content")]
-    rows = objects.select(*columns)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(id_cols)]) + ", idx int, label string, size long, original long, error string"
+    rows = _rows(objects, content_col, class_col, id_cols, profile or {})
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(id_cols)])
+    known = dictionaries or {}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                data = row[-1] or b""
-                original = len(data)
-                if original > SAMPLE_ABOVE:
-                    start = (original - SAMPLE) // 2 // 8 * 8
-                    data = data[start : start + SAMPLE]
-                for i, label in enumerate(plans.get(row[-2], ["stored"]) if data else ["stored"]):
-                    out.append((*row[:-2], i, label, *(lambda r: (r[0], original, r[1]))(_measured(data, label, verify))))
-            yield pd.DataFrame(out, columns=[*id_cols, "idx", "label", "size", "original", "error"]).astype({"size": "Int64"})
+                labels, data, delimiter, dictionary = _plans_of(row, effort, known)
+                part = middle(data, above, sample)
+                for i, label in enumerate(labels):
+                    size, error = _measured(part, label, verify, delimiter, dictionary)
+                    out.append((*row[: len(id_cols)], i, label, size, len(part), len(data), error))
+            yield pd.DataFrame(out, columns=[*id_cols, "idx", "label", "size", "measured", "original", "error"]).astype({"size": "Int64"})
+
+    return rows.mapInPandas(run, f"{fields}, idx int, label string, size long, measured long, original long, error string")
+
+
+def pack(
+    objects: DataFrame, content_col: str, effort: str, class_col: str, id_cols: list[str], *, profile: dict[str, str] | None = None,
+    dictionaries: dict[str, bytes] | None = None, forced: str | None = None, above: int = SAMPLE_ABOVE, sample: int = SAMPLE, with_payload: bool = False,
+) -> DataFrame:
+    """Each object by its best plan: id columns, label, size, original, candidates, ok.
+
+    The smallest candidate wins, of equals the first; failed ones lose. It is
+    then run on the whole content, which is stored as it is where that is not
+    smaller or isn't given back. ``forced`` is a codec and level to use instead,
+    without transforms, with the same fall back.
+    """
+    rows = _rows(objects, content_col, class_col, id_cols, profile or {})
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(id_cols)])
+    known = dictionaries or {}
 
-    return rows.mapInPandas(run, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                labels, data, delimiter, dictionary = _plans_of(row, effort, known)
+                if forced is not None:
+                    labels = [forced]
+                sizes = [_measured(middle(data, above, sample), x, False, delimiter, dictionary)[0] for x in labels] if len(labels) > 1 else [0]
+                tried = [(n, i) for i, n in enumerate(sizes) if n is not None]
+                label, payload, done, before = labels[min(tried)[1]] if tried else "stored", data, [], len(data)
+                if label != "stored":
+                    try:
+                        payload, done, before = _packed(data, label, delimiter, dictionary)
+                        if len(payload) >= len(data) or restore(payload, label, done, len(data), dictionary, before) != data:
+                            label, payload = "stored", data
+                    except ValueError:
+                        label, payload = "stored", data
+                ok = payload == data if label == "stored" else True
+                out.append((*row[: len(id_cols)], label, len(payload), len(data), len(labels), ok, *([payload] * with_payload)))
+            yield pd.DataFrame(out, columns=[*id_cols, "label", "size", "original", "candidates", "ok", *["payload"] * with_payload])
+
+    return rows.mapInPandas(run, f"{fields}, label string, size long, original long, candidates int, ok boolean" + ", payload binary" * with_payload)
 
 
 def best_plan(measured: DataFrame, id_cols: list[str]) -> DataFrame:
@@ -132,7 +203,7 @@ def best_plan(measured: DataFrame, id_cols: list[str]) -> DataFrame:
 
 
 def ranked(measured: DataFrame, id_cols: list[str]) -> DataFrame:
-    """All measurements of an object, errors last, then by size."""
+    """All measurements of an object, errors last, then by size; what is saved is a share of the bytes that were measured."""
     order = W.partitionBy(*id_cols).orderBy(F.col("error").isNotNull(), "size", "idx")
-    saved = F.when(F.col("original") > 0, (1 - F.col("size") / F.col("original")) * 100).otherwise(0.0)
+    saved = F.when(F.col("measured") > 0, (1 - F.col("size") / F.col("measured")) * 100).otherwise(0.0)
     return measured.withColumn("position", F.row_number().over(order)).withColumn("saved_pct", F.round(saved, 4))

@@ -319,32 +319,30 @@ def csv_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("l_orderkey", F.concat(F.array_join("lines", "\n"), F.lit("\n")).alias("text")).select("l_orderkey", found.alias("t")).select("l_orderkey", "t.delimiter", F.col("t.columns").cast("long").alias("columns"))
 
 
-_BYTES = "b AS (SELECT doc_id, ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT AS x, i FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 1)) AS i FROM (SELECT doc_id, substr(hex(encode(text)), 1, 1024) AS h FROM documents WHERE text <> '')))"
+_BYTES = "b AS (SELECT doc_id, ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT AS x, i FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 1)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> '')))"
 
 
-def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of the first 512 bytes of each text."""
-    head = F.substring(F.col("text").cast("binary"), 1, 512)
-    return src.load(spark, sf_dir, "documents").where("text != ''").select("doc_id", content.profile(head).alias("p"))
+def _profiled(spark: SparkSession, sf_dir: str, *stats: str) -> DataFrame:
+    """Statistics of each whole text."""
+    return src.load(spark, sf_dir, "documents").where("text != ''").select("doc_id", content.measured(*stats)(F.col("text").cast("binary")).alias("p"))
 
 
 @query(f"""WITH {_BYTES}, c AS (SELECT doc_id, x, count(*) AS n FROM b GROUP BY 1, 2), t AS (SELECT doc_id, sum(n)::DOUBLE AS t FROM c GROUP BY 1)
   SELECT doc_id, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM c JOIN t USING (doc_id) GROUP BY 1""")
 def byte_entropy_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiled(spark, sf_dir).select("doc_id", (F.round("p.entropy", 6) + 0.0).alias("entropy"))
+    return _profiled(spark, sf_dir, "entropy").select("doc_id", (F.round("p.entropy", 6) + 0.0).alias("entropy"))
 
 
-@query(f"""WITH {_BYTES}, r AS (SELECT a.doc_id, l.lag, count(*) FILTER (a.x = p.x) / count(*)::DOUBLE AS r FROM b a, (VALUES (1), (2), (4), (8)) l(lag) JOIN b p ON p.doc_id = a.doc_id AND p.i = a.i - l.lag GROUP BY 1, 2)
-  SELECT d.doc_id, coalesce(round(max(r) FILTER (lag = 1), 6), 0) AS rate1, coalesce(round(max(r) FILTER (lag = 2), 6), 0) AS rate2, coalesce(round(max(r) FILTER (lag = 4), 6), 0) AS rate4, coalesce(round(max(r) FILTER (lag = 8), 6), 0) AS rate8
-  FROM (SELECT doc_id FROM documents WHERE text <> '') d LEFT JOIN r USING (doc_id) GROUP BY 1""")
+@query(f"""WITH {_BYTES}, w AS (SELECT doc_id, x, i, {", ".join(f"lag(x, {k}) OVER o AS p{k}" for k in (1, 2, 4, 8))} FROM b WHERE i < 262144 WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+  SELECT doc_id, {", ".join(f"coalesce(round(count(*) FILTER (x = p{k}) / nullif(count(p{k}), 0)::DOUBLE, 6), 0) AS rate{k}" for k in (1, 2, 4, 8))} FROM w GROUP BY 1""")
 def match_rate_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiled(spark, sf_dir).select("doc_id", *[F.round(f"p.rate{k}", 6).alias(f"rate{k}") for k in (1, 2, 4, 8)])
+    return _profiled(spark, sf_dir, "rate1", "rate2", "rate4", "rate8").select("doc_id", *[F.round(f"p.rate{k}", 6).alias(f"rate{k}") for k in (1, 2, 4, 8)])
 
 
 @query(f"""WITH {_BYTES} SELECT doc_id, round(count(*) FILTER (x IN (9, 10, 13) OR x BETWEEN 32 AND 126 OR x >= 128) / count(*)::DOUBLE, 6) AS printable,
-  round(count(*) FILTER (x IN (123, 125, 91, 93, 60, 62, 58, 34, 61)) / count(*)::DOUBLE, 6) AS markers FROM b GROUP BY 1""")
+  round(count(*) FILTER (i < 65536 AND x IN (123, 125, 91, 93, 60, 62, 58, 34, 61)) / (count(*) FILTER (i < 65536))::DOUBLE, 6) AS markers FROM b GROUP BY 1""")
 def printable_and_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiled(spark, sf_dir).select("doc_id", F.round("p.printable", 6).alias("printable"), F.round("p.markers", 6).alias("markers"))
+    return _profiled(spark, sf_dir, "printable", "markers").select("doc_id", F.round("p.printable", 6).alias("printable"), F.round("p.markers", 6).alias("markers"))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,13 +372,21 @@ def candidate_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(planner.candidate_table(spark)), ["class", "effort"]).select("doc_id", "class", "effort", "idx", "label")
 
 
+def _with_profile(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
+    rows = _classified(spark, sf_dir).withColumns({"stride": F.col("p.stride"), "entropy": F.col("p.entropy"), "delimiter": content.detect_csv(F.col("text"))["delimiter"]})
+    return rows, {k: k for k in planner.PROFILE}
+
+
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.measure(_classified(spark, sf_dir), "text", "balanced", "class", ["name"])
+    rows, profile = _with_profile(spark, sf_dir)
+    return planner.measure(rows, "text", "balanced", "class", ["name"], profile=profile)
 
 
 @query()
 def best_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.best_plan(_measured(spark, sf_dir), ["name"])
+    """The winner of each text's candidates, run on the whole text."""
+    rows, profile = _with_profile(spark, sf_dir)
+    return planner.pack(rows, "text", "balanced", "class", ["name"], profile=profile)
 
 
 @query()

@@ -12,6 +12,9 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..functions import codecs, transforms
 from ..functions.hashing import blake3, checksum64
 from ..plans import planner
@@ -35,6 +38,11 @@ def kind(data: bytes) -> str | None:
     return "blocks" if data.startswith(HEADER[:4]) else "envelope" if data.startswith(ENVELOPE[:4]) else None
 
 
+def is_envelope(content: Column) -> Column:
+    """The same for a column: whether contents are envelopes."""
+    return F.substring(content, 1, 4) == F.lit(ENVELOPE[:4])
+
+
 def seal(data: bytes, label: str, name: str = "", delimiter: bytes = b",") -> bytes:
     payload, done = planner.run_plan(data, label, delimiter)
     steps, *_ = planner.parsed(label)

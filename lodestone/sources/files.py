@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: the largest content that Spark's file source takes.
+MOST_CONTENT = (1 << 31) - 16
+
 
 def inventory(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """path, name, size and time of all files; contents aren't read, as the column is pruned."""
@@ -16,9 +19,16 @@ def inventory(spark: SparkSession, path: str, recursive: bool = True) -> DataFra
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "modificationTime")
 
 
-def contents(spark: SparkSession, path: str, most: int = 64 << 20) -> DataFrame:
-    """path, length and content of files up to ``most`` bytes; the limit is pushed to the scan."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most)
+def contents(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """path, length, content and skipped (why a content is null) of all files.
+
+    Contents over ``most`` bytes aren't read, but their rows stay and say so. A
+    row holds 2 GiB at most, so that is the limit where none is given.
+    """
+    most = min(most if most is not None else MOST_CONTENT, MOST_CONTENT)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = rows.where(F.col("length") <= most).select("path", "length", "content", F.lit(None).cast("string").alias("skipped"))
+    return small.unionByName(rows.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit("too large").alias("skipped")))
 
 
 def windows(content: Column, size: int = 16 * 1024, large: int = 1 << 20) -> Column:

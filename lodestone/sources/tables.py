@@ -71,6 +71,12 @@ def default_window(now_ms: int, days: int = 30, start: int | None = None, end: i
     return min(start, end), end
 
 
+def window_columns(now: Column, days: Column) -> list[Column]:
+    """The same for columns: start_ms and end_ms of a window without ends."""
+    end = (now + 1).cast("long")
+    return [(end - F.least(F.greatest(days, F.lit(1)), F.lit(366)) * 86_400_000).cast("long").alias("start_ms"), end.alias("end_ms")]
+
+
 def objects(documents: DataFrame) -> DataFrame:
     """Texts as objects of tenants: tenant_id, ord, name, original_size, object_hash."""
     return documents.select(

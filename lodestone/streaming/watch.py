@@ -2,14 +2,19 @@
 
 A file source remembers paths, so it never sees a file that is rewritten in
 place. Each round therefore lists the directory anew and compares size and
-time with the seen table; contents are only read where those differ.
+time with the seen table; contents are only read where those differ, and those
+of files that still grow are left for a later round.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,20 +34,50 @@ def compare(listing: DataFrame, seen: DataFrame) -> DataFrame:
     return listing.join(before, "path", "left").withColumn("state", state).drop("_size", "_mtime")
 
 
-def run_round(spark: SparkSession, directory: str, seen: DataFrame, most: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
-    """One round: (events, new seen table). Events are new, changed and gone; a file only touched is none."""
+def run_round(spark: SparkSession, directory: str, seen: DataFrame, steady: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round: (events, new seen table). Events are new, changed and gone; a file only touched is none.
+
+    The listing reads no contents; those of files that differ are read one by
+    one, as streams, so a file of any size is taken. ``steady`` (path, size), as
+    of ``stable``, holds back files that are still being written: they stay as
+    they were seen.
+    """
     files = spark.read.format("binaryFile").load(directory).withColumnsRenamed({"length": "size", "modificationTime": "mtime"})
-    files = files.where(allowed(F.element_at(F.split("path", "/"), -1)) & (F.col("size") <= most))
-    listing = files.select("path", "size", "mtime")
+    listing = files.select("path", "size", "mtime").where(allowed(F.element_at(F.split("path", "/"), -1)))
     state = compare(listing, seen)
-    # contents only of what may be new
-    wanted = state.where("state != 'same'").select("path", "_hash", "state")
-    read = files.join(F.broadcast(wanted), "path").select("path", "size", "mtime", F.sha2("content", 256).alias("object_hash"), "_hash", "state")
+    if steady is not None:
+        state = state.join(steady.select("path", "size", F.lit(True).alias("_steady")), ["path", "size"], "left")
+        state = state.withColumn("state", F.when((F.col("state") != "same") & F.col("_steady").isNull(), "waits").otherwise(F.col("state"))).drop("_steady")
+    wanted = state.where("state IN ('new', 'candidate')").select("path", "size", "mtime", "_hash", "state")
+    read = with_digest(wanted)
     gone = seen.join(listing.select("path"), "path", "left_anti")
     events = read.where("state = 'new' OR object_hash != _hash").select("path", "object_hash", F.when(F.col("state") == "new", "new").otherwise("changed").alias("event"))
     events = events.unionByName(gone.select("path", "object_hash", F.lit("gone").alias("event")))
     kept = state.where("state = 'same'").select("path", "size", "mtime", F.col("_hash").alias("object_hash"))
-    return events, kept.unionByName(read.select("path", "size", "mtime", "object_hash"))
+    waiting = seen.join(state.where("state = 'waits'").select("path"), "path", "left_semi")
+    return events, kept.unionByName(read.select("path", "size", "mtime", "object_hash")).unionByName(waiting.select("path", "size", "mtime", "object_hash"))
+
+
+def with_digest(paths: DataFrame) -> DataFrame:
+    """``paths`` with the SHA-256 of each file's content as ``object_hash``, read piece by piece through Arrow's file systems."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(object_hash=[_digest(p) for p in frame["path"]])
+
+    return paths.mapInPandas(run, paths.schema.simpleString()[7:-1].replace(":", " ") + ", object_hash string")
+
+
+def _digest(path: str, piece: int = 1 << 20) -> str:
+    if path.startswith("file:") or "://" not in path:
+        system, inner = pa_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, inner = pa_fs.FileSystem.from_uri(quote(path, safe="/:"))
+    digest = hashlib.sha256()
+    with system.open_input_stream(inner) as f:
+        while block := f.read(piece):
+            digest.update(block)
+    return digest.hexdigest()
 
 
 def empty_seen(spark: SparkSession) -> DataFrame:

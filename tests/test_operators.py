@@ -1,10 +1,13 @@
+import hashlib
+import random
 import time
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import content
+from lodestone.functions import content, dataset, names
 from lodestone.operators import blocks, inventory, ledger
 from lodestone.operators import economics as eco
+from lodestone.plans import planner
 from lodestone.sources import files, tables
 from lodestone.streaming import watch
 
@@ -125,3 +128,124 @@ def test_everything_works_without_the_corpus_subpackage():
 
     code = "import sys; sys.modules['lodestone.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'usage_totals' in e.queries() and 'pipeline' not in e.queries()"
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/", 2)[0]).returncode == 0
+
+
+def test_names_of_versions_become_one(spark):
+    same = [
+        ["report-v1.txt", "report-v2.10.txt", "report_v3.txt".replace("_", "-")], ["scan 2024-01-02.pdf", "scan 2023_12_31.pdf", "scan 20240102.pdf", "scan 2024-01-02t10:30:59.pdf"],
+        ["notes.md", "notes (2).md", "notes-copy.md", "notes_final.md", "Notes_OLD.md"], ["lib-1.2.3", "lib-1.3", "lib-rev 7"], ["a/b12/c.bin", "a/b7/c.bin"],
+    ]
+    apart = ["report.txt", "driver2.txt", "final.txt", "copying.txt", "new-york.txt", "v.txt", "t.txt"]
+    rows = [(i, n) for i, names in enumerate(same) for n in names] + [(100 + i, n) for i, n in enumerate(apart)]
+    got = {}
+    for r in spark.createDataFrame(rows, "k int, n string").select("k", inventory.normalized(F.col("n")).alias("x")).collect():
+        got.setdefault(r.k, set()).add(r.x)
+    assert all(len(x) == 1 for x in got.values()) and len(set.union(*got.values())) == len(got)
+
+
+def test_natural_order_and_three_passes(spark):
+    names = ["a10", "a9", "a09b", "b1", "a9b10", "a9b9", "a123456789012345678901234567890", "a", ""]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    import re
+
+    def key(s):
+        return [int(x) if k % 2 else x for k, x in enumerate(re.split("([0-9]+)", s))]
+
+    got = [r.n for r in rows.orderBy(inventory.natural_key(F.col("n")), "n").collect()]
+    assert [key(n) for n in got] == sorted(key(n) for n in names)
+    files_ = [(1, "app-1/x.bin", 100), (2, "app-2/x.bin", 120), (3, "doc/r-v1.txt", 10), (4, "doc/r-v2.txt", 11), (5, "doc/r-v10.txt", 12), (6, "p1/q1.c", 7), (7, "p2/q2.c", 7), (8, "p3/q3.c", 100), (9, "lone", 5)]
+    df = spark.createDataFrame(files_, "id int, path string, size long")
+    found = inventory.families_greedy(df, inventory.family_keys(F.col("path")), "id", F.struct(inventory.natural_key(F.col("path")), "id"), "size").collect()
+    chains = {}
+    for r in sorted(found, key=lambda r: r.position):
+        chains.setdefault((r["pass"], r.family, r.chain), []).append(r.id)
+    assert sorted((k[0], v) for k, v in chains.items()) == [(0, [1, 2]), (1, [3, 4, 5]), (2, [6, 7])]
+
+
+def test_cascade_looks_at_the_whole_only_of_equal_samples(spark):
+    big = bytes(range(256)) * 1200
+    rows = [(1, big), (2, big), (3, big[:100_000] + b"!" + big[100_001:]), (4, b"x" * 5), (5, b"y" * 5), (6, b"unlike")]
+    got = inventory.duplicate_cascade(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id int, content binary"), "id", "content").first()
+    assert (got.by_size, got.by_sample, got.by_content) == (5, 3, 2)
+
+
+def test_long_contents_are_measured_in_part_and_packed_whole(spark):
+    r = random.Random(3)
+    noise, numbers = r.randbytes(4000), b"".join((10**9 + 7 * i).to_bytes(8, "little") for i in range(500))
+    table, runs = "".join(f"{i};{i * i};x\n" for i in range(400)).encode(), b"a" * 300 + b"b" * 3700
+    rows = [(1, "binary", noise, None, 8.0, None), (2, "numeric_binary", numbers, 8, 3.0, None), (3, "tabular", table, None, 4.0, ";"), (4, "binary", runs, None, 0.4, None), (5, "plain_text", b"", None, 0.0, None)]
+    df = spark.createDataFrame([(i, c, bytearray(b), s, e, d) for i, c, b, s, e, d in rows], "id int, class string, content binary, stride int, entropy double, delimiter string")
+    profile = {k: k for k in planner.PROFILE}
+    got = planner.ranked(planner.measure(df, "content", "max", "class", ["id"], profile=profile, above=1000, sample=512), ["id"]).collect()
+    of = {i: {x.label: x for x in got if x.id == i} for i in range(1, 6)}
+    assert all(x.measured == min(512, x.original) for x in got) and all(x.saved_pct <= 5 for x in of[1].values() if x.error is None)
+    assert "delta:8>byte_split:8+zstd:19" in of[2] and "csv_columnar+zstd:19" in of[3] and any(x.startswith("rle+") for x in of[4]) and not any(x.startswith("rle+") for x in of[1])
+    assert of[3]["csv_columnar+zstd:19"].error is None
+    whole = {x.id: x for x in planner.pack(df, "content", "max", "class", ["id"], profile=profile, above=1000, sample=512).collect()}
+    assert all(x.ok and x.size <= x.original for x in whole.values()) and whole[1].label == "stored" and whole[2].size < 200 and whole[4].size < 60
+    forced = {x.id: x for x in planner.pack(df, "content", "max", "class", ["id"], forced="zstd:3").collect()}
+    assert forced[1].label == "stored" and forced[3].label == "zstd:3" and all(x.ok for x in forced.values())
+
+
+def test_dictionaries_are_trained_resolved_and_checked(spark):
+    r = random.Random(1)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(i, "a" if i < 200 else "b", " ".join(r.choices(words, k=80))) for i in range(205)]
+    df = spark.createDataFrame(rows, "id int, class string, text string")
+    made = blocks.trained_dictionaries(df, "class", "text", "id")
+    got = made.collect()
+    assert [x["class"] for x in got] == ["a"] and 4096 <= len(got[0].content) <= 112 * 1024
+    bad = spark.createDataFrame([(x["class"], x.id, bytearray(x.content[:-1] + b"!")) for x in got], "class string, id string, content binary")
+    assert blocks.resolved(bad, made).isEmpty() and blocks.resolved(made, made).count() == 1
+    done = blocks.dictionary_round_trips(df.where("class = 'a'"), "id", "class", "text", {"a": bytes(got[0].content)})
+    assert done.where("NOT ok").isEmpty() and done.agg(F.sum("packed") < F.sum("alone")).first()[0]
+
+
+def test_classes_of_files_and_why(spark):
+    r = random.Random(2)
+    code = b"import os\n\ndef f(x):\n    return x\n\nclass A:\n    pass\n" * 5
+    cases = [
+        (b"", "", "vazio", "tamanho_zero"), (b"\x1f\x8b" + bytes(40), "", "container_comprimido", "assinatura:gzip"), (b'{"a": 1}\n{"a": 2}\n{"b": 3}\n', "", "json_ndjson", "conteudo_ndjson"),
+        (b'{"a": [1, 2]}', "", "json_ndjson", "conteudo_json"), (b"<html><p>hello</p></html>", "", "xml_html", "conteudo"), (b"2024-01-02 10:20:30 INFO started\n" * 6, "", "log", "conteudo"),
+        (b"a,b,c\n" * 20, "", "csv_tabular", "conteudo"), (b"a,b,c\n" * 20, "txt", "texto", "conteudo"), (b">x\n" + b"ACGTACGTAA\n" * 40, "", "sequencia", "conteudo"), (code, "", "codigo", "conteudo"), (b"some words", "py", "codigo", "extensao"),
+        (b"plain words and more of them. " * 20, "", "texto", "conteudo"), (r.randbytes(8192), "", "criptografado_aleatorio", "entropia>=7.9_sem_assinatura"), (r.randbytes(8192), "zip", "container_comprimido", "extensao_sem_assinatura"),
+        (b"".join((i * 37).to_bytes(4, "little") for i in range(3000)), "", "cientifico_numerico", "entropia_dos_deltas"), (bytes([0, 1, 2, 200]) * 50, "db", "banco_de_dados", "extensao"), ("word ".encode("utf-16") * 30, "", "texto", "bom_utf16"),
+        (b"%PDF-1.4\n" + b"words in a file\n" * 30, "", "texto", "assinatura:pdf_texto"), (bytes(257) + b"ustar" + bytes(250) + b"words of a file " * 60, "", "texto", "assinatura:tar+conteudo"),
+    ]
+    df = spark.createDataFrame([(i, bytearray(b), e) for i, (b, e, *_) in enumerate(cases)], "id int, content binary, ending string")
+    got = {x.id: (x.c["class"], x.c.reason) for x in df.select("id", dataset.dataset_class(F.col("content"), F.col("ending")).alias("c")).collect()}
+    assert [got[i] for i in range(len(cases))] == [(c, w) for *_, c, w in cases]
+    assert {c for *_, c, _ in cases} <= set(dataset.CLASSES)
+
+
+def test_frame_windows(spark):
+    import zstandard
+
+    def packed(n, **kw):
+        made = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, **kw))
+        return made.compress(bytes(n))
+
+    cases = [packed(n) for n in (5, 255, 256, 70_000)] + [packed(1 << 20, window_log=17), b"no frame", b""]
+    want = [zstandard.get_frame_parameters(x).window_size if x[:4] == b"(\xb5/\xfd" else None for x in cases]
+    size = [zstandard.frame_content_size(x) if w else None for x, w in zip(cases, want)]
+    got = [x.w for x in spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(cases)], "i int, c binary").orderBy("i").select(names.frame_window(F.col("c")).alias("w")).collect()]
+    assert all(g == w or g == s for g, w, s in zip(got, want, size)) and got[-2:] == [None, None]
+
+
+def test_watch_holds_back_what_still_grows(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "done.txt").write_text("done")
+    (d / "grows.txt").write_text("gro")
+    seen = watch.empty_seen(spark)
+    listed = spark.read.format("binaryFile").load(str(d)).select("path", F.col("length").alias("size"))
+    events, seen = watch.run_round(spark, str(d), seen, steady=listed.where("path LIKE '%done.txt'"))
+    assert [(r.path.rsplit("/")[-1], r.event) for r in events.collect()] == [("done.txt", "new")]
+    assert [r.object_hash for r in seen.collect()] == [hashlib.sha256(b"done").hexdigest()]
+
+
+def test_contents_that_are_too_large_stay_as_rows(spark, tmp_path):
+    (tmp_path / "small").write_bytes(b"abc")
+    (tmp_path / "large").write_bytes(b"x" * 100)
+    got = {r.path.rsplit("/")[-1]: (r.length, r.content and bytes(r.content), r.skipped) for r in files.contents(spark, str(tmp_path), most=10).collect()}
+    assert got == {"small": (3, b"abc", None), "large": (100, None, "too large")}
