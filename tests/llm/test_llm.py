@@ -339,6 +339,15 @@ def test_viterbi_equals_all_paths():
 # --- op6
 
 
+def test_passages_do_not_hang_on_other_columns_or_equal_rows(spark):
+    r = random.Random(6)
+    w = [f"w{r.randrange(400)}" for _ in range(400)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(30)] + w[40 * (i % 3) : 40 * (i % 3) + 90]), "x", 1, 2) for i in range(9)] * 2 + [(None, " ".join(w[:90]), "x", 1, 2), (20, None, "x", 1, 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, gram string, low int, id int")
+    got = [sorted(map(tuple, substring_dedup.find_passages(df).collect())) for df in (odd, odd.select("doc_id", "text"), odd.select("doc_id", "text").distinct())]
+    assert got[0] == got[1] == got[2] and {x[0] for x in got[0]} == set(range(9))
+
+
 def test_passages_cover_every_exact_repeat(spark):
     rows = {i: WORD(t.translate(FOLD)) for i, t in texts().items()}
     r = random.Random(7)
@@ -696,3 +705,18 @@ def test_pipeline_stages_against_plain_versions(spark):
     assert Counter(r.doc_id for r in drawn.collect()) == Counter({r.doc_id: r.copies for r in mixing.mix_sources(clean).where("copies > 0").collect()})
     made = cp.tokens(spark, drawn, sf)
     assert made.count() == drawn.count()
+
+
+@pytest.mark.parametrize("table", ["awkward", "clashing", "empty"])
+def test_pipeline_stages_on_awkward_tables(spark, request, table):
+    import corpus_pipeline as cp
+
+    docs = request.getfixturevalue(table)
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.count()
+        if name != "tokens":
+            assert out.columns == docs.columns
+        assert rows == 0 if table == "empty" else rows <= 2 * len(AWKWARD)
+    if table != "empty":
+        assert cp.near_duplicates(spark, docs, SF).count() == 9 and cp.personal_data(spark, docs, SF).count() == len(AWKWARD)
