@@ -95,6 +95,25 @@ def fixed_chunks(files: DataFrame, id_col: str, content_col: str, size: int) ->
     return rows.select("id", "block", (F.col("block").cast("long") * size).alias("offset"), F.octet_length(chunk).cast("long").alias("length"), chunk.alias("chunk"))
 
 
+def sorted_number_chunks(rows: DataFrame, id_col: str, number_col: str, size: int) -> DataFrame:
+    """As ``fixed_chunks`` of each id's numbers in unsigned order, 8 bytes each, big end first; nulls are left out.
+
+    No id's content is ever held whole: equal numbers are counted, their places
+    follow from running counts, and each block's share of them is put together.
+    """
+    each = size // 8
+    number = F.lpad(F.hex(F.col(number_col).cast("long")), 16, "0")
+    counted = rows.where(F.col(number_col).isNotNull()).groupBy(F.col(id_col).alias("id"), number.alias("number")).agg(F.count("*").alias("n"))
+    end = F.sum("n").over(W.partitionBy("id").orderBy("number").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counted.withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
+    placed = placed.select("id", "number", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / each), F.floor((F.col("end") - 1) / each))).alias("block"))
+    share = (F.least("end", (F.col("block") + 1) * each) - F.greatest("start", F.col("block") * each)).cast("int")
+    blocks = placed.select("id", F.col("block").cast("int").alias("block"), F.struct("number", share.alias("n")).alias("part")).groupBy("id", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    chunk = F.unhex(F.array_join(F.transform("parts", lambda p: F.repeat(p["number"], p["n"])), ""))
+    blocks = blocks.select("id", "block", chunk.alias("chunk"))
+    return blocks.select("id", "block", (F.col("block").cast("long") * size).alias("offset"), F.octet_length("chunk").cast("long").alias("length"), "chunk")
+
+
 def chunk_dedup(chunks: DataFrame, first_half: Column) -> DataFrame:
     """Total and distinct chunks and bytes; and the share of the second half's bytes that the first half has."""
     rows = chunks.select(F.sha2("chunk", 256).alias("hash"), "length", first_half.alias("old"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -52,7 +53,11 @@ def features(block: bytes, granularity: int, size: int = 4096, pieces: int = 4)
 
 
 def labelled(blocks: DataFrame, granularity: int) -> DataFrame:
-    """(id, block, chunk) with features, the size by each candidate, and the smallest's number."""
+    """(id, block, chunk) with features, the size by each candidate, and the smallest's number.
+
+    Blocks are dealt over all cores, however few contents or files they come
+    from; their places and order are the same in every run.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -66,7 +71,10 @@ def labelled(blocks: DataFrame, granularity: int) -> DataFrame:
                 out.append((key, block, len(data), [float(f) for f in features(data, granularity)], sizes, int(np.argmin(sizes))))
             yield pd.DataFrame(out, columns=["id", "block", "size", "features", "sizes", "best"])
 
-    return blocks.select("id", "block", "chunk").mapInPandas(run, "id long, block int, size long, features array<double>, sizes array<long>, best int")
+    spark = blocks.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = blocks.select("id", "block", "chunk").repartition(parts, "id", "block").sortWithinPartitions("id", "block", "chunk")
+    return dealt.mapInPandas(run, "id long, block int, size long, features array<double>, sizes array<long>, best int")
 
 
 def tolerant(rows: DataFrame, within: float = 0.005) -> DataFrame:
@@ -89,8 +97,12 @@ def probe_rule(f: Column) -> Column:
 
 
 def cross_validated(rows: DataFrame, group: Column, folds: int = 3, model: str = "tree") -> DataFrame:
-    """Predictions for each block by a model that saw none of its group's fold."""
+    """Predictions for each block by a model that saw none of its group's fold.
+
+    The rows are kept once made: every fold's fit and predictions read them again.
+    """
     rows = rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds))).withColumn("vector", array_to_vector("features")).withColumn("y", F.col("best").cast("double"))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for k in range(folds):
         known = rows.where(F.col("fold") != k)

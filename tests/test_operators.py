@@ -1,11 +1,13 @@
 import hashlib
 import random
 import time
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import content, dataset, names
-from lodestone.operators import blocks, inventory, ledger
+from lodestone.operators import blocks, inventory, ledger, models
 from lodestone.operators import economics as eco
 from lodestone.plans import planner
 from lodestone.sources import files, tables
@@ -250,3 +252,32 @@ def test_contents_that_are_too_large_stay_as_rows(spark, tmp_path):
     (tmp_path / "large").write_bytes(b"x" * 100)
     got = {r.path.rsplit("/")[-1]: (r.length, r.content and bytes(r.content), r.skipped) for r in files.contents(spark, str(tmp_path), most=10).collect()}
     assert got == {"small": (3, b"abc", None), "large": (100, None, "too large")}
+
+
+def test_sorted_numbers_in_blocks_are_those_of_whole_contents(spark):
+    r = np.random.default_rng(3)
+    rows = [(int(i % 3) if i % 50 else None, int(v)) for i, v in enumerate(r.integers(-5, 40, 900))] + [(1, 7)] * 400 + [(2, None), (9, None), (8, 1)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    whole = df.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(F.lpad(F.hex("v"), 16, "0"))), "").alias("h")).select("k", F.unhex("h").alias("content"))
+    want = inventory.fixed_chunks(whole, "k", "content", 64).collect()
+    got = inventory.sorted_number_chunks(df, "k", "v", 64)
+    assert Counter(map(repr, got.collect())) == Counter(map(repr, want)) and len(want) > 150
+
+
+def test_blocks_are_dealt_over_all_cores_and_made_once(spark, tmp_path):
+    blocks = spark.range(1).select(F.lit(1).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("block")).withColumn("chunk", F.sha2(F.col("block").cast("string"), 512).cast("binary"))
+
+    def noted(frames):
+        for frame in frames:
+            for block in frame["block"]:
+                with open(tmp_path / "made", "a") as f:
+                    f.write(f"{block}\n")
+            yield frame
+
+    made = models.labelled(blocks, 64)
+    assert made.select(F.spark_partition_id()).distinct().count() >= 4
+    ids = made.withColumn("id", F.col("block").cast("long")).select("id", "block", "features", "sizes", "best", F.lit(1.0).alias("weight"))
+    ids = ids.mapInPandas(noted, ids.schema)
+    found = models.cross_validated(ids, F.col("id"))
+    assert found.count() == 200 and found.where("predicted IS NULL").isEmpty()
+    assert Counter((tmp_path / "made").read_text().split()) == Counter(map(str, range(200)))
