@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from compare import assert_same, connect
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, components, fingerprints, licences, mixing, ngram_join, pii, quality, queries, sharding, substring_dedup
+from lodestone.llm import ann, base, bpe, components, fingerprints, licences, mixing, ngram_join, pii, quality, queries, sharding, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -428,6 +429,42 @@ def test_a_run_that_first_holders_have_cut_up_is_found(spark):
     assert uncovered(spark, rows) == []
 
 
+def test_spans_go_to_texts_without_a_forced_broadcast(spark, capsys):
+    docs = spark.createDataFrame([(i, f"a b c {i}") for i in range(9)], "doc_id long, text string")
+    classes = docs.select(F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("name"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, _ = substring_dedup._Texts(docs, classes).with_spans(docs.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("lo"), F.lit(2).cast("long").alias("hi")))
+        rows.explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_minimisers_and_groups_against_plain_ones():
+    r = np.random.default_rng(2)
+    for t in range(600):
+        h = r.integers(0, [3, 20, 1 << 40][t % 3], r.integers(0, 80)).astype(np.uint64)
+        at, gram = substring_dedup.minimisers(h)
+        g = base.shingles(h, substring_dedup.K) if len(h) >= substring_dedup.K else h[:0]
+        w = min(substring_dedup.W, len(g))
+        want = sorted({k + int(g[k : k + w].argmin()) for k in range(len(g) - w + 1)}) if len(g) else []
+        assert at.tolist() == want and (gram == g[at]).all()
+    for _ in range(200):
+        rows = sorted((int(b), int(a)) for b, a in r.integers(0, 4, (r.integers(1, 50), 2)))
+        x, y = r.integers(-60, 60, len(rows)), r.integers(0, 60, len(rows))
+        cuts = np.unique(np.r_[0, r.integers(0, len(rows) + 1, 5), len(rows)])
+        cols = [np.array([k for k, _ in rows]), np.array([k for _, k in rows]), x, y]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[p:q]) for c in cols], names=list("baxy")) for p, q in zip(cuts[:-1], cuts[1:])]
+        want = defaultdict(list)
+        for key, p, q in zip(rows, x.tolist(), y.tolist()):
+            want[key] += [(p, q)] if p >= 0 else [(-1 - p, q), (34 - p, q + 35)]
+        want = {k: sorted(v) for k, v in want.items() if len(v) > 1 and all(max(z) - min(z) + substring_dedup.K >= 40 for z in zip(*v))}
+        assert {(b, a): sorted(zip(p.tolist(), q.tolist())) for b, a, p, q in substring_dedup._grouped(iter(batches), 40, 35)} == want
+
+
 def test_common_subsequence_and_chains():
     r = np.random.default_rng(1)
     for _ in range(40):
