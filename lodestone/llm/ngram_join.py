@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import U64, Repeated, Words, clean, discard, long_array, mix, shingles, steps, stored, unused
+from .base import U64, Repeated, Words, clean, discard, long_array, mix, shingles, short_methods, steps, stored, unused
 from .components import connected_components
 
 #: N-grams with a known count (8 bytes each in every worker), and how often one must be found to be among them.
@@ -286,7 +286,11 @@ def join_ngrams(docs: DataFrame, n: int = 5, least: tuple[int, int] = (8, 10), i
     Documents link when the Jaccard coefficient of their ``n``-word shingles
     (A-Z in lower case) is at least ``least[0] / least[1]``.
     """
-    docs = clean(docs, id_col, text_col)
+    with short_methods(docs.sparkSession):
+        return _joined(clean(docs, id_col, text_col), n, least)
+
+
+def _joined(docs: DataFrame, n: int, least: tuple[int, int]) -> DataFrame:
     spark = docs.sparkSession
     sketch = [f"s{i}" for i in range(SKETCH)]
     read = stored(docs.mapInArrow(_read(n), "doc_id long, n long, name long, gram long" + "".join(f", {c} long" for c in sketch) + ", wide binary"))

@@ -337,6 +337,20 @@ def test_viterbi_equals_all_paths():
         assert tuple(got) == best
 
 
+def test_the_join_runs_with_short_methods_and_leaves_the_session_as_it_was(spark, monkeypatch):
+    seen, before = [], spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+
+    def noted(df):
+        seen.append(int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")))
+        return base.stored(df)
+
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")], "doc_id long, text string")
+    got = ngram_join.join_ngrams(df)
+    assert sorted((x.doc_id, x.component_id) for x in got.collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert seen and max(seen) <= base.METHOD_BYTES and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+
+
 # --- op6
 
 
