@@ -443,6 +443,47 @@ def test_a_run_that_first_holders_have_cut_up_is_found(spark):
     assert uncovered(spark, rows) == []
 
 
+def test_alike_passages_are_found_whose_seeds_others_held_first(spark):
+    r = random.Random(17)
+    rows, pairs = {}, []
+    for case in range(6):
+        p = [f"p{case}x{i}" for i in range(100)]
+        for k in range(0, 85, 4):  # each seed is first in a text that has 20 words of it
+            rows[len(rows)] = [f"o{r.randrange(10**6)}" for _ in range(15)] + p[k : k + 20] + [f"o{r.randrange(10**6)}" for _ in range(15)]
+        pair = []
+        for changed in ((33, 66), (34, 67)):
+            w = [f"o{r.randrange(10**6)}" if i in changed else v for i, v in enumerate(p)]
+            pair.append(len(rows))
+            rows[len(rows)] = [f"o{r.randrange(10**6)}" for _ in range(20)] + w + [f"o{r.randrange(10**6)}" for _ in range(20)]
+        pairs.append(tuple(pair))
+    got = substring_dedup.find_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")).collect()
+    found = {(x.other_doc_id, x.doc_id): x for x in got if x.kind == "passage"}
+    for pair in pairs:
+        assert pair in found and found[pair].n_words >= 50 and found[pair].similarity >= 0.8
+
+
+def test_every_link_by_an_equal_run_shows_in_one_document(spark):
+    r = random.Random(19)
+    pieces = [[f"p{k}x{i}" for i in range(r.randrange(20, 90))] for k in range(14)]
+    rows = {i: [f"o{i}x{k}" for k in range(12)] + [w for _ in range(4) for w in pieces[r.randrange(14)] + [f"o{r.randrange(10**6)}"] * r.randrange(2)] for i in range(40)}
+    got = substring_dedup.find_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")).collect()
+    spans, runs = defaultdict(list), defaultdict(set)
+    for x in got:
+        if x.kind == "passage":
+            spans[x.other_doc_id, x.other_doc_id].append((x.other_start, x.other_end))
+            spans[x.doc_id, x.other_doc_id].append((x.other_start, x.other_end))
+    for i, w in rows.items():
+        for k in range(len(w) - 49):
+            runs[tuple(w[k : k + 50])].add((i, k))
+    links = 0
+    for places in runs.values():
+        ids = {i for i, _ in places}
+        if len(ids) > 1:
+            links += 1
+            assert any(all(any(a <= k and k + 50 <= b for a, b in spans[other, i]) for other in ids) for i, k in places), places
+    assert links > 50
+
+
 def test_spans_go_to_texts_without_a_forced_broadcast(spark, capsys):
     docs = spark.createDataFrame([(i, f"a b c {i}") for i in range(9)], "doc_id long, text string")
     classes = docs.select(F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("name"))
